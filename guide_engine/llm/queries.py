@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import minhash, packing, sharding
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": lambda s, d: sharding.op1_query(s, documents(s, d)),
+    "op4_minhash_bbit": lambda s, d: minhash.op4_query(s, documents(s, d)),
     "op8_pack_spf": lambda s, d: packing.pack_documents(s, documents(s, d)),
 }
 
