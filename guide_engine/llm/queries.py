@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, sharding
+from . import minhash, packing, quality, sharding, toxicity
 from .common import documents
 
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": lambda s, d: sharding.op1_query(s, documents(s, d)),
     "op4_minhash_bbit": lambda s, d: minhash.op4_query(s, documents(s, d)),
+    "op5_quality_pu": lambda s, d: quality.op5_query(s, documents(s, d), _labels(s, d)),
     "op8_pack_spf": lambda s, d: packing.pack_documents(s, documents(s, d)),
+    "op9_toxicity_nnpu": lambda s, d: toxicity.op9_query(s, documents(s, d), _labels(s, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {}
