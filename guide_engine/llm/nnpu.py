@@ -192,7 +192,11 @@ def samples(docs: DataFrame, labels: DataFrame, column: str, allowed: Column) ->
     rows = rows.where(allowed & F.col("doc_id").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES)).withColumn("draw", F.xxhash64("doc_id", F.lit(17)))
 
     def take(x: DataFrame, n: int) -> list[bytes]:
-        return [r["text"].encode() for r in x.orderBy("draw", "doc_id", "text").limit(n).collect()]
+        """About n rows, the same ones however the table is split: those whose hash lies under a bound set by their count."""
+        total = x.select("doc_id").count()
+        bound = (1 << 63) - 1 if total <= n else int(2**64 * (n / total)) - (1 << 63)
+        found = x.where(F.col("draw") <= bound).select("draw", "doc_id", "text").collect()
+        return [r["text"].encode() for r in sorted(found, key=lambda r: tuple(r))[:n]]
 
     trusted = rows.join(marks.where("mark = 1").select("doc_id"), "doc_id", "left_semi")
     return take(trusted, MAX_POSITIVE), take(rows, MAX_UNLABELLED)
