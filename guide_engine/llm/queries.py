@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
+from . import ann, chat, decontaminate, minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_doubling": lambda s, d: suffix_dedup.op3_query(s, documents(s, d)),
     "op4_minhash_bbit": lambda s, d: minhash.op4_query(s, documents(s, d)),
     "op5_quality_pu": lambda s, d: quality.op5_query(s, documents(s, d), _labels(s, d)),
+    "op6_chat_repair": lambda s, d: chat.op6_query(s, s.read.parquet(f"{d}/conversations.parquet")),
     "op7_pii_bilstm_crf": lambda s, d: pii.find(s, documents(s, d)),
     "op8_pack_spf": lambda s, d: packing.pack_documents(s, documents(s, d)),
     "op9_toxicity_nnpu": lambda s, d: toxicity.op9_query(s, documents(s, d), _labels(s, d)),
