@@ -32,7 +32,7 @@ from .graph import components
 BANDS, ROWS, HASHES, BITS = 24, 5, 192, 4
 LANES = HASHES * BITS // 64
 #: Members of a bucket that are compared in one task, and classes whose sets one task holds at a side.
-TILE, BLOCK = 2048, 256
+TILE, BLOCK = 1024, 256
 
 
 def margin(threshold: float, hashes: int = HASHES, bits: int = BITS, sigmas: float = 5.0) -> int:
@@ -253,7 +253,7 @@ def _rest(tables: Tables, ranked: DataFrame, one: DataFrame, buckets: DataFrame,
             if len(js) and at:
                 js = js[~(bands[js, :at] == bands[i, :at]).any(1)]
             for other in np.unique(block[js]):
-                out.append((block[i], other, doc[i], doc[js[block[js] == other]]))
+                out.append((min(block[i], other), max(block[i], other), doc[i], doc[js[block[js] == other]]))
         return pd.DataFrame(out, columns=["block_a", "block_b", "a", "partners"])
 
     listed = row.groupBy("key", "t", "u").applyInPandas(compare, "block_a long, block_b long, a long, partners array<long>")
