@@ -1,8 +1,62 @@
-"""Corpus preparation: the stages in order, each over all that its predecessor kept."""
+"""Corpus preparation: five stages, each over all that its predecessor kept.
 
-STAGES: list = []
+Every stage reads and returns documents (doc_id, text, lang, source, n_chars); the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from guide_engine.llm import decontaminate, minhash, packing, pii, toxicity
+from guide_engine.llm.common import Tables, documents
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.clean(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return minhash.keep_one(spark, docs, size=5, threshold=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its error budget go."""
+    return decontaminate.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; n_chars follows."""
+    out = pii.redact(spark, docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of all documents in sequences of 4096."""
+    return packing.pack_documents(spark, docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("pii", mask_personal_data),
+    ("packing", pack),
+]
+
+#: Training and tokenising are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each written to the shared folder and reread."""
+    tables = Tables(spark)
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES:
+        docs = tables.put(name, stage(spark, docs, sf_dir))
+        if before:
+            tables.drop(before)
+        before = name
+    return docs

@@ -277,5 +277,11 @@ def _rest(tables: Tables, ranked: DataFrame, one: DataFrame, buckets: DataFrame,
     return tables.put("rest", listed.groupBy("block_a", "block_b").cogroup(sides.groupBy("side_a", "side_b")).applyInPandas(verify, "a long, b long"))
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of one document of each component: the one with the smallest id; rows with a null id stay."""
+    drop = near_duplicates(spark, docs, size, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(drop, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
 def op4_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(spark, docs, size=3, threshold=85)
