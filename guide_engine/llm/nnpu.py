@@ -27,7 +27,7 @@ from .common import U64, crc_label_fold, raw_bytes, slices, word_hashes
 
 BUCKETS = 1 << 18
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 4000
-Z_LEAST = 5.0
+Z_LEAST, FEW_WORDS, Z_SMALL = 5.0, 8, 3.0
 #: Longer texts are not drawn for training, so that the sample's bytes are bounded too; they are scored whole.
 MAX_TRAIN_BYTES = 20_000
 STYLE = ("length", "upper", "symbol", "digit", "blank", "repeat", "pipe", "mean_word", "newline", "one_letter", "twice", "root_symbol", "root_upper", "root_pipe", "root_twice")
@@ -163,7 +163,14 @@ def train(positive: list[bytes], unlabelled: list[bytes], words: int, use_style:
     z[cp + cu < max(5, 0.002 * (np_ + nu))] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:words]
     # words of the positives only, and only those far beyond chance: rare words would be learned by heart
-    model = Model(chosen=np.sort(chosen[z[chosen] > Z_LEAST]))
+    far = chosen[z[chosen] > Z_LEAST]
+    if len(far) < FEW_WORDS:  # a small sample can't reach that far; its best words have to do
+        far = np.argsort(-z, kind="stable")[:FEW_WORDS]
+        far = far[z[far] > Z_SMALL]
+    model = Model(chosen=np.sort(far))
+    if not use_style and not len(far):
+        model.bias = -3.0  # nothing tells positives from the rest: nothing is flagged
+        return model
     styles = np.array([s for s, _ in fu])
     model.centre, model.spread = styles.mean(0), np.maximum(styles.std(0), 1e-3)
     xp = np.stack([model.vector(s, b, use_style) for s, b in fp])
