@@ -10,8 +10,8 @@ are unique. Positions leave as early as they can:
    row, a *run* of about 76 windows. Equal windows have equal keys, so runs whose
    key is unique hold no repeat and leave.
 2. Of the others, runs whose whole span is repeated are repeated as a whole.
-3. For what is left (the borders of repeated passages) each window is ranked by itself, by the pair
-   (key, name of 200 bytes), one run standing for all with its span.
+3. For what is left (the borders of repeated passages), one run standing for all with its span, up to CORE
+   windows are ranked by the bytes they share, and leave if those are unique; the rest each by its 200 bytes.
 
 Names within a key are compared only with each other, so a chance collision needs two different
 windows that share a 50-byte string. Every window is compared with all others of the corpus, whatever their number.
@@ -34,6 +34,7 @@ from .common import U64, Tables, mix64, raw_bytes, slices, splitmix
 LENGTH, ANCHOR = 200, 50
 REACH = LENGTH - ANCHOR  # a window holds REACH + 1 anchors
 SEGMENT = 2 << 20
+CORE = 19  # windows that stand or fall together before each is ranked by itself
 _BYTES = splitmix(21, 256)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
@@ -171,40 +172,100 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, tables: Tables | None =
     rest = tables.put("rest", rest.groupBy("doc", "alt").agg(F.collect_list(F.struct("at", "n", "key", "single")).alias("todo")))
     tables.drop("kept", "open", "spans")
 
-    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of the texts that open runs lie in, each with its runs."""
         for batch in batches:
             raw, bounds = raw_bytes(batch.column("text"))
             todo = batch.column("todo")
+            rows: list[tuple] = []
             for i in range(batch.num_rows):
                 own = todo[i].values
                 at, n = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "n"))
-                key, single = (own.field(k).to_numpy(zero_copy_only=False) for k in ("key", "single"))
-                text = raw[bounds[i] : bounds[i + 1]]
                 order = np.argsort(at, kind="stable")
-                at, n, key, single = at[order], n[order], key[order], single[order]
+                at, n = at[order], n[order]
                 for part in _near(at, n):
-                    a, c = at[part], n[part]
-                    low = int(a[0])
+                    low, high = int(at[part][0]), int((at + n)[part].max()) + LENGTH - 1
+                    runs = own.take(pa.array(order[part]))
+                    rows.append((batch.column("doc")[i].as_py(), batch.column("alt")[i].as_py(), low, raw[bounds[i] + low : bounds[i] + high].tobytes(), runs))
+            for k in range(0, len(rows), 512):
+                some = rows[k : k + 512]
+                ends = np.concatenate([[0], np.cumsum([len(r[4]) for r in some])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[j] for r in some], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))] + [pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays([r[4] for r in some]))],
+                    names=["doc", "alt", "low", "bytes", "runs"],
+                )
+
+    # a repeated row's copies have equal runs: one of them stands in ``rest``, so any will do
+    wide = rest.join(keyed, ["doc", "alt"]).dropDuplicates(["doc", "alt"]).select("doc", "alt", "text", "todo")
+    run_type = "array<struct<at: bigint, n: smallint, key: bigint, single: boolean>>"
+    parts = tables.put("parts", wide.mapInArrow(stretches, f"doc long, alt long, low long, bytes binary, runs {run_type}"))
+
+    def expand(fine: bool):
+        """Rows of named strings of the runs: cores shared by up to CORE windows, or each window by itself."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    text = np.frombuffer(batch.column("bytes")[i].as_buffer(), np.uint8)
+                    low = batch.column("low")[i].as_py()
+                    own = batch.column("runs")[i].values
+                    at, n = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "n"))
+                    key, single = (own.field(k).to_numpy(zero_copy_only=False) for k in ("key", "single"))
                     with np.errstate(over="ignore"):
-                        names = anchor_names(text[low : int((a + c).max()) + LENGTH - 1])
-                        pos = np.repeat(a - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
-                        got = window_names(names, pos - low)
+                        names = anchor_names(text)
+                        which = np.repeat(np.arange(len(at)), n)
+                        pos = np.repeat(at - low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                        if fine:
+                            count, got = np.ones(len(pos), np.int16), window_names(names, pos)
+                        else:
+                            pos, count, which, got = cores(names, pos, which)
                     m = len(pos)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(key[part], c)), _i64(got), pa.repeat(batch.column("doc")[i], m), pa.repeat(batch.column("alt")[i], m), pa.array(pos), pa.array(np.repeat(single[part], c))],
-                        names=["key", "name", "doc", "alt", "at", "single"],
+                        [pa.array(key[which]), _i64(got), pa.repeat(batch.column("doc")[i], m), pa.repeat(batch.column("alt")[i], m), pa.repeat(batch.column("low")[i], m), pa.array(pos + low), pa.array(count.astype(np.int16)), pa.array(single[which])],
+                        names=["key", "name", "doc", "alt", "low", "at", "n", "single"],
                     )
 
-    # a repeated row's copies have equal runs: one of them stands in ``rest``, so any will do
-    wide = rest.join(keyed, ["doc", "alt"]).dropDuplicates(["doc", "alt"])
-    each = tables.put("each", wide.select("doc", "alt", "text", "todo").mapInArrow(expand, "key long, name long, doc long, alt long, at long, single boolean"))
-    again = tables.put("again", each.groupBy("key", "name").agg(F.count("*").alias("c")).where("c > 1").select("key", "name"))
-    edge = each.where("single").join(again, ["key", "name"]).select("doc", "alt", "at", F.lit(1).cast("short").alias("n"))
+        return run
+
+    row = "key long, name long, doc long, alt long, low long, at long, n short, single boolean"
+
+    def repeated(rows: DataFrame, name: str) -> DataFrame:
+        again = rows.groupBy("key", "name").agg(F.count("*").alias("c")).where("c > 1").select("key", "name")
+        return rows.join(tables.put(name, again), ["key", "name"])
+
+    coarse = tables.put("coarse", parts.mapInArrow(expand(False), row))
+    left = repeated(coarse, "cores").groupBy("doc", "alt", "low").agg(F.collect_list(F.struct("at", "n", "key", "single")).alias("runs"))
+    left = tables.put("left", left)
+    tables.drop("coarse", "cores", "rest")
+    each = left.join(parts.drop("runs"), ["doc", "alt", "low"]).select("doc", "alt", "low", "bytes", "runs")
+    each = tables.put("each", each.mapInArrow(expand(True), row))
+    edge = repeated(each, "again").where("single").select("doc", "alt", "at", "n")
     marks = tables.put("marks", whole.union(edge).groupBy("doc", "alt").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
-    tables.drop("whole", "rest", "each", "again")
+    tables.drop("whole", "parts", "left", "each", "again")
     return marks
 
 
+def cores(names: np.ndarray, pos: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows put together by what they share: first window, count, run, name of the shared bytes.
+
+    A window's key stands at an offset that only its own bytes decide (the first least name in it). Windows of a run whose
+    offsets fall in one range of CORE share all but CORE - 1 bytes; equal windows have equal shared bytes.
+    """
+    anchor = np.empty(len(pos), np.int64)
+    span = np.arange(REACH + 1)
+    for k in range(0, len(pos), 1 << 14):
+        p = pos[k : k + (1 << 14)]
+        anchor[k : k + (1 << 14)] = p + names[p[:, None] + span].argmin(1)
+    band = (anchor - pos) // CORE
+    first = np.append(True, (which[1:] != which[:-1]) | (anchor[1:] != anchor[:-1]) | (band[1:] != band[:-1]))
+    at = np.flatnonzero(first)
+    count = np.diff(np.append(at, len(pos)))
+    begin = anchor[at] - CORE * band[at]
+    size = LENGTH - CORE + 1
+    name = pair(pair(names[begin], names[begin + 50]), pair(names[begin + 100], names[begin + size - ANCHOR]))
+    return pos[at], count, which[at], mix64(name + band[at].astype(U64))
+
+
 def _near(at: np.ndarray, n: np.ndarray) -> list[slice]:
     """Cut sorted runs where the next one starts beyond the reach of the names, or after a bounded stretch."""
     out, begin = [], 0
