@@ -99,8 +99,8 @@ class ChannelFold:
 class FoldRows:
     """Feeds rows in the order (day, source, seq) to a fold, and numbers what leaves."""
 
-    def __init__(self, rules: Rules, last_day: int | None = None):
-        self.fold, self.last_day = ChannelFold(rules), last_day
+    def __init__(self, rules: Rules, last_day: int | None = None, day: int = DAY):
+        self.fold, self.last_day, self.length = ChannelFold(rules), last_day, day
         self.day: int | None = None
         self.source: int | None = None
         self.list: list[Entry] = []
@@ -121,7 +121,7 @@ class FoldRows:
                 # an empty day in between lets everything before it leave too
                 yield from self._numbered(self.midnight)
                 if day > self.day + 1:
-                    yield from self._numbered(midnight - DAY)
+                    yield from self._numbered(midnight - self.length)
             self.day, self.source, self.midnight = day, source, midnight
         self.list.append(Entry(st, sp, frozenset(titles or ()), [row_id]))
 
@@ -133,15 +133,15 @@ class FoldRows:
                 yield from self._numbered(self.midnight)
                 # days without rows: each lets go of what starts before it
                 for k in range(1, self.last_day - self.day):
-                    yield from self._numbered(self.midnight + k * DAY)
+                    yield from self._numbered(self.midnight + k * self.length)
             yield from self._numbered(None)
 
 
 OUT = "channel string, id long, group_id long, place int, out_seq long, next_st long, next_group long"
 
 
-def fold(df: DataFrame, rules: Rules | None = None, last_day: int | None = None) -> DataFrame:
-    """Assignments of schedule rows (channel, day_idx, midnight, source, seq, id, st, sp, titles).
+def fold(df: DataFrame, rules: Rules | None = None, last_day: int | None = None, day: int = DAY) -> DataFrame:
+    """Assignments of schedule rows (channel, day_idx, midnight, source, seq, id, st, sp, titles); ``day`` is a day in their unit.
 
     The table function takes rows partitioned by channel and sorted, so a channel is streamed through, not collected.
     """
@@ -151,7 +151,7 @@ def fold(df: DataFrame, rules: Rules | None = None, last_day: int | None = None)
 
     class Fold:
         def __init__(self):
-            self.state, self.channel = FoldRows(rules, last_day), None
+            self.state, self.channel = FoldRows(rules, last_day, day), None
 
         def eval(self, r):
             self.channel = r["channel"]

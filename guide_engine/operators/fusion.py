@@ -65,7 +65,8 @@ def fuse(df: DataFrame, by: list[str], order: str, fields: dict[str, str], keep_
     extensions inside credits are lost once two rows meet, unless asked for. A row that meets none passes as it is.
     """
     value = [f for f in fields if f not in by]
-    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *value))).alias("_rows"))
+    in_order = lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)  # noqa: E731  maps have no order
+    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *value)), in_order).alias("_rows"))
     rows = F.col("_rows")
 
     def gathered(of: Callable[[Column], Column], kind: str) -> Column:
