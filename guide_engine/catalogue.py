@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, text
 from .operators import fold, fusion, ingest, match, polish, registry
+from .sources import xml_sink, xml_source
 
 FIRST = 1704067200  # 2024-01-01
 
@@ -435,3 +436,34 @@ def _(spark, sf_dir):
     dims = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
     rows = facts.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).join(dims, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select("l_orderkey", "l_linenumber", "o_orderpriority", "s_name", "n_name")
+
+
+# ---------------------------------------------------------------- documents
+
+
+def _programme_rows(spark, sf_dir):
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.timestamp_seconds(c).alias("ts"), F.lit(0).alias("off"), F.lit(14).alias("prec")))
+    title = F.array(F.struct(F.concat(F.col("title"), F.lit(" & <co>")).alias("value"), F.lit("en").alias("lang")))
+    return sched(spark, sf_dir).select("seq", "st", "sp", F.struct(at("st").alias("start"), at("sp").alias("stop"), F.col("channel").alias("channel"), title.alias("title")).alias("p"))
+
+
+@query("programme_xml", f"""WITH {_sched_sql()} SELECT seq, '<programme start="' || strftime(make_timestamp(st * 1000000), '%Y%m%d%H%M%S') || ' +0000"' ||
+  CASE WHEN sp IS NULL THEN '' ELSE ' stop="' || strftime(make_timestamp(sp * 1000000), '%Y%m%d%H%M%S') || ' +0000"' END || ' channel="' || channel || '"><title lang="en">' || title || ' &amp; &lt;co&gt;</title></programme>' AS xml FROM sched""")
+def _(spark, sf_dir):
+    return _programme_rows(spark, sf_dir).select("seq", xml_sink.to_xml("programme", F.col("p")).alias("xml"))
+
+
+@query("xml_roundtrip", f"WITH {_sched_sql()} SELECT seq, st, sp, channel, title || ' & <co>' AS title FROM sched")
+def _(spark, sf_dir):
+    xml = _programme_rows(spark, sf_dir).select(F.col("seq").cast("string").alias("path"), F.concat(F.lit("<tv>"), xml_sink.to_xml("programme", F.col("p")), F.lit("</tv>")).alias("content"))
+    back = xml_source.tables(xml_source.parse_column(xml))["programmes"]
+    return back.select(F.col("path").cast("long").alias("seq"), F.unix_seconds("start.ts").alias("st"), F.unix_seconds("stop.ts").alias("sp"), "channel", F.col("title")[0]["value"].alias("title"))
+
+
+@query("warnings_by_code", """SELECT code, count(*) AS n FROM (SELECT unnest(CASE event_id % 5 WHEN 0 THEN ['invalid-attribute', 'invalid-programme'] WHEN 1 THEN ['unknown-element'] WHEN 2 THEN ['truncated-input']
+  WHEN 3 THEN ['malformed-markup', 'invalid-element'] ELSE [] END) AS code FROM events) GROUP BY code""")
+def _(spark, sf_dir):
+    bad = """case event_id % 5 when 0 then '<programme start="20240230" channel="a"/></tv>' when 1 then '<other/></tv>' when 2 then '<programme start="2024" channel="a">'
+      when 3 then '</x><channel/></tv>' else '<channel id="a"/></tv>' end"""
+    docs = table(spark, sf_dir, "events").selectExpr("cast(event_id as string) as path", f"concat('<tv>', {bad}) as content")
+    return xml_source.tables(xml_source.parse_column(docs))["warnings"].groupBy("code").agg(F.count("*").alias("n"))
