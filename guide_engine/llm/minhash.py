@@ -153,6 +153,27 @@ def _overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
 
 
+def intersections(items: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets: one by one for a few pairs, else as a product of incidence matrices."""
+    if len(left) < 4 * len(items):
+        return np.array([_overlaps(items[i], [items[j]])[0] for i, j in zip(left, right, strict=True)], np.int64)
+    rows = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    _, which, count = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[which]
+    rows, which = rows[keep], number[which[keep]]
+    order = np.argsort(which, kind="stable")
+    rows, which = rows[order], which[order]
+    out = np.zeros((len(items), len(items)), np.float64)
+    for first in range(0, int(shared.sum()), columns):  # a bounded part of the vocabulary at a time
+        a, b = np.searchsorted(which, [first, first + columns])
+        part = np.zeros((len(items), columns), np.float32)
+        part[rows[a:b], which[a:b] - first] = 1
+        out += part @ part.T
+    return out[left, right].astype(np.int64)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: int = 80, tables: Tables | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: classes of Jaccard ``threshold`` hundredths on ``size``-word shingles."""
     tables = tables or Tables(spark)
@@ -262,17 +283,18 @@ def _rest(tables: Tables, ranked: DataFrame, one: DataFrame, buckets: DataFrame,
     sides = blocks.join(place.join(sets, "doc"), "block").select("block_a", "block_b", "doc", "items").toDF("side_a", "side_b", "doc", "items")
 
     def verify(listing: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        items = {d: np.asarray(x).view(U64) for d, x in zip(members["doc"], members["items"], strict=True)}
-        forest, out = Forest(), []
-        for a, partners in zip(listing["a"], listing["partners"], strict=True):
-            others = [b for b in partners if forest.find(a) != forest.find(b)]
-            for k in range(0, len(others), 512):
-                part = others[k : k + 512]
-                both = _overlaps(items[a], [items[b] for b in part])
-                for b, x in zip(part, both, strict=True):
-                    if 100 * x >= threshold * (len(items[a]) + len(items[b]) - x) and forest.join(a, b):
-                        out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"])
+        """A spanning forest of the listed pairs that the full sets confirm."""
+        if not len(listing):
+            return pd.DataFrame({"a": [], "b": []})
+        place = {d: i for i, d in enumerate(members["doc"])}
+        items = [np.asarray(x).view(U64) for x in members["items"]]
+        left = np.repeat(np.array([place[d] for d in listing["a"]]), [len(p) for p in listing["partners"]])
+        right = np.array([place[d] for p in listing["partners"] for d in p])
+        both = intersections(items, left, right)
+        sizes = np.array([len(x) for x in items])
+        good = 100 * both >= threshold * (sizes[left] + sizes[right] - both)
+        forest, ids = Forest(), members["doc"].to_numpy()
+        return pd.DataFrame([(a, b) for a, b in zip(ids[left[good]].tolist(), ids[right[good]].tolist(), strict=True) if forest.join(a, b)], columns=["a", "b"])
 
     return tables.put("rest", listed.groupBy("block_a", "block_b").cogroup(sides.groupBy("side_a", "side_b")).applyInPandas(verify, "a long, b long"))
 

@@ -105,3 +105,12 @@ def test_graph_components(spark):
                 stack += near[y]
     got = components(Tables(spark), spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["component"] for r in got.collect()} == want
+
+
+def test_intersections_both_ways():
+    rng = np.random.default_rng(1)
+    items = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(9)]
+    left, right = np.array([(i, j) for i in range(9) for j in range(9) if i != j]).T
+    want = [len(np.intersect1d(items[i], items[j])) for i, j in zip(left, right)]
+    assert minhash.intersections(items, left, right, 7).tolist() == want
+    assert minhash.intersections(items, left[:9], right[:9]).tolist() == want[:9]
