@@ -2,8 +2,8 @@
 
 Training reads a bounded sample: MAX_POSITIVE labelled positives and MAX_UNLABELLED documents whose
 label is not used, both chosen by a hash of the id. Features are style rates (share of capitals, symbols, repeats ...)
-and the presence of hashed words; a word bucket is selected when its rate among positives and
-unlabelled differs most. The class prior is estimated from the same two samples, and the
+and the presence of words and of word stems, by hash; one is selected when it is far more frequent among positives
+than among the unlabelled. The class prior is estimated from the same two samples, and the
 classifier minimises the non-negative risk estimate
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)).
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, crc_label_fold, raw_bytes, slices, word_hashes
+from .common import _LOWER, U64, crc_label_fold, mix64, raw_bytes, slices, word_hashes
 
-BUCKETS = 1 << 18
+STEMS = (4, 5)
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 4000
-Z_LEAST, FEW_WORDS, Z_SMALL = 5.0, 8, 3.0
+Z_LEAST, Z_SHARE, FEW_WORDS, Z_SMALL = 5.0, 0.35, 8, 3.0
 #: Longer texts are not drawn for training, so that the sample's bytes are bounded too; they are scored whole.
 MAX_TRAIN_BYTES = 20_000
 STYLE = ("length", "upper", "symbol", "digit", "blank", "repeat", "pipe", "mean_word", "newline", "one_letter", "twice", "root_symbol", "root_upper", "root_pipe", "root_twice")
@@ -39,7 +39,7 @@ def features(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words, first, end = _bare_words(raw)
     m = len(words)
     if not n or not m:
-        return np.zeros(len(STYLE)), np.zeros(0, np.int64)
+        return np.zeros(len(STYLE)), np.zeros(0, U64)
     low = (raw >= 97) & (raw <= 122) | (raw >= 128)
     upper = (raw >= 65) & (raw <= 90)
     digit = (raw >= 48) & (raw <= 57)
@@ -68,7 +68,11 @@ def features(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.sqrt(twice),
         ]
     )
-    return style, np.unique((kinds >> U64(40)).astype(np.int64) & (BUCKETS - 1))
+    stems = [kinds]
+    for size in STEMS:  # words of one stem count together
+        at = first[end - first > size]
+        stems.append(np.unique(mix64(sum((_LOWER[raw[at + k]].astype(U64) << U64(8 * k) for k in range(size)), start=np.full(len(at), U64(size) << U64(56))))))
+    return style, np.unique(np.concatenate(stems))
 
 
 _EDGE = np.zeros(256, bool)
@@ -84,7 +88,7 @@ def _bare_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    chosen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    chosen: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(STYLE)))
     bias: float = 0.0
     centre: np.ndarray = field(default_factory=lambda: np.zeros(len(STYLE)))
@@ -95,7 +99,9 @@ class Model:
         x = np.zeros(len(STYLE) + len(self.chosen), np.float32)
         if use_style:
             x[: len(STYLE)] = np.clip((style - self.centre) / self.spread, -4, 4)
-        x[len(STYLE) + np.flatnonzero(np.isin(self.chosen, words, assume_unique=True))] = 1
+        if len(words) and len(self.chosen):
+            at = np.minimum(np.searchsorted(words, self.chosen), len(words) - 1)
+            x[len(STYLE) + np.flatnonzero(words[at] == self.chosen)] = 1
         return x
 
 
@@ -116,7 +122,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_risk(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = 150, decay: float = 1e-5, non_negative: bool = True, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_risk(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = 500, decay: float = 1e-5, non_negative: bool = True, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Adam on the non-negative risk with the logistic loss; where the bracket is negative its gradient is reversed."""
     rng = np.random.default_rng(7)
     w = np.zeros(xp.shape[1] + 1)
@@ -125,7 +131,7 @@ def fit_risk(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = 150, de
     xu = np.hstack([xu, np.ones((len(xu), 1), xu.dtype)])
     for _ in range(epochs):
         up, uu = rng.permutation(len(xp)), rng.permutation(len(xu))
-        parts = max(1, len(xu) // 256)
+        parts = max(1, len(xu) // 4096)  # in small batches the bracket turns negative by chance
         for k in range(parts):
             p = xp[up[k * len(xp) // parts : (k + 1) * len(xp) // parts]] if len(xp) >= parts else xp
             u = xu[uu[k * len(xu) // parts : (k + 1) * len(xu) // parts]]
@@ -152,22 +158,20 @@ def train(positive: list[bytes], unlabelled: list[bytes], words: int, use_style:
         return Model()
     fp = [features(np.frombuffer(t, np.uint8)) for t in positive]
     fu = [features(np.frombuffer(t, np.uint8)) for t in unlabelled]
-    cp, cu = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for _, b in fp:
-        cp[b] += 1
-    for _, b in fu:
-        cu[b] += 1
     np_, nu = len(fp), len(fu)
+    kinds, which = np.unique(np.concatenate([b for _, b in fp + fu]), return_inverse=True)
+    cut = sum(len(b) for _, b in fp)
+    cp, cu = np.bincount(which[:cut], minlength=len(kinds)), np.bincount(which[cut:], minlength=len(kinds))
     rate = (cp + cu) / (np_ + nu)
     z = (cp / np_ - cu / nu) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / np_ + 1 / nu))
     z[cp + cu < max(5, 0.002 * (np_ + nu))] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:words]
-    # words of the positives only, and only those far beyond chance: rare words would be learned by heart
-    far = chosen[z[chosen] > Z_LEAST]
+    order = np.argsort(-z, kind="stable")[:words]
+    # words of the positives only, far beyond chance and not far below the best: others would be learned by heart
+    far = order[z[order] > max(Z_LEAST, Z_SHARE * z[order[0]])] if len(order) else order
     if len(far) < FEW_WORDS:  # a small sample can't reach that far; its best words have to do
-        far = np.argsort(-z, kind="stable")[:FEW_WORDS]
+        far = order[:FEW_WORDS]
         far = far[z[far] > Z_SMALL]
-    model = Model(chosen=np.sort(far))
+    model = Model(chosen=np.sort(kinds[far]))
     if not use_style and not len(far):
         model.bias = -3.0  # nothing tells positives from the rest: nothing is flagged
         return model
@@ -178,7 +182,7 @@ def train(positive: list[bytes], unlabelled: list[bytes], words: int, use_style:
     # the prior is read off a first classifier of positives against unlabelled, on halves it wasn't fitted on
     tails_p, tails_u = np.zeros(np_), np.zeros(nu)
     for k in (0, 1):
-        w, b = fit_risk(xp[k::2], xu[k::2], 0.5, 25, non_negative=True)
+        w, b = fit_risk(xp[k::2], xu[k::2], 0.5, 200)
         tails_p[1 - k :: 2], tails_u[1 - k :: 2] = xp[1 - k :: 2] @ w + b, xu[1 - k :: 2] @ w + b
     model.prior = class_prior(tails_p, tails_u)
     model.weights, model.bias = fit_risk(xp, xu, model.prior)
