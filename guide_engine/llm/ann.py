@@ -31,6 +31,7 @@ from .common import Tables
 SAMPLE, PROBES, TARGET = 20_000, 200, 0.97
 LEAF_ROWS, MAX_LEAVES, BRANCH = 128, 2048, 8
 CHUNK = 4096
+BESIDE = 16  # leaves that are searched together
 
 
 @dataclass
@@ -198,40 +199,48 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
     most = calibrate(tree, probe_ids, _unit(probe), [(r["query_id"], r["leaf"]) for r in exact], target)
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query's leaves by their neighbourhood: leaves are numbered along the tree, BESIDE of them make one."""
         tree, dims, _, _ = shared.value
         for batch in batches:
             at, x = _matrix(batch.column("embedding"), dims)
-            paths = [tree.visits(q, most) for q in _unit(x)]
-            which = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
-            take = pa.array(which)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("embedding").take(take), pa.array(np.concatenate(paths) if paths else np.zeros(0), pa.int32())], names=["query_id", "query", "leaf"])
+            which, near, seen = [], [], []
+            for i, q in zip(at.tolist(), _unit(x), strict=True):
+                path = np.sort(np.array(tree.visits(q, most), np.int32))
+                for g in np.unique(path // BESIDE):
+                    which.append(i)
+                    near.append(g)
+                    seen.append(path[path // BESIDE == g])
+            take = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("embedding").take(take), pa.array(near, pa.int32()), pa.array(seen, pa.list_(pa.int32()))], names=["query_id", "query", "near", "leaves"])
 
     queries = indexed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = tables.put("queries", queries.select("vec_id", "embedding").mapInArrow(walk, "query_id long, query array<double>, leaf int"))
-
-    # one row a leaf: the tree's size is bounded by the sample
-    held = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    seen = queries.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("sides"))
-    cuts = F.broadcast(held.join(seen, "leaf"))
-    left = indexed.join(cuts, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    left = left.withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("leaf", "part", "side", "vec_id", "embedding")
-    right = queries.join(cuts, "leaf").withColumn("side", F.pmod(F.xxhash64("query_id"), F.col("sides")).cast("int"))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("leaf").alias("l"), F.col("part").alias("p"), F.col("side").alias("s"), "query_id", "query")
+    queries = tables.put("queries", queries.select("vec_id", "embedding").mapInArrow(walk, "query_id long, query array<double>, near int, leaves array<int>"))
+
+    # one row a neighbourhood of leaves: the tree's size is bounded by the sample
+    beside = F.floor(F.col("leaf") / BESIDE).cast("int").alias("near")
+    held = indexed.groupBy(beside).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    seen = queries.groupBy("near").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("sides"))
+    cuts = F.broadcast(held.join(seen, "near"))
+    left = indexed.withColumn("near", beside).join(cuts, "near").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    left = left.withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("near", "part", "side", "leaf", "vec_id", "embedding")
+    right = queries.join(cuts, "near").withColumn("side", F.pmod(F.xxhash64("query_id"), F.col("sides")).cast("int"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("near").alias("l"), F.col("part").alias("p"), F.col("side").alias("s"), "query_id", "query", "leaves")
 
     def search(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(ask):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, q = np.stack(own["embedding"].to_numpy()), np.stack(ask["query"].to_numpy())
-        ids, unit = own["vec_id"].to_numpy(), _unit(x).T
+        ids, unit, leaf, leaves = own["vec_id"].to_numpy(), _unit(x).T, own["leaf"].to_numpy(), ask["leaves"].to_numpy()
         found = []
         for a in range(0, len(q), 256):
             rough = _unit(q[a : a + 256]) @ unit
             for i, q_id in enumerate(ask["query_id"].to_numpy()[a : a + 256]):
-                got, score = best(q_id, q[a + i], rough[i], ids, x, k)
+                open_ = np.flatnonzero(np.isin(leaf, leaves[a + i]))
+                got, score = best(q_id, q[a + i], rough[i][open_], ids[open_], x[open_], k)
                 found.append((np.full(len(got), q_id), got, score))
         return pd.DataFrame({n: np.concatenate([f[j] for f in found]) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
-    hits = left.groupBy("leaf", "part", "side").cogroup(right.groupBy("l", "p", "s")).applyInPandas(search, "query_id long, vec_id long, score double")
+    hits = left.groupBy("near", "part", "side").cogroup(right.groupBy("l", "p", "s")).applyInPandas(search, "query_id long, vec_id long, score double")
     ranked = hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", near).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
