@@ -222,11 +222,11 @@ def _(spark, sf_dir):
 
 
 def _greedy(name: str, title: str):
-    sql = f"""WITH RECURSIVE {_sched_sql("'one'")}, p AS (SELECT site, st, min(seq) AS id, arg_min(sp, seq) FILTER (sp IS NOT NULL) AS sp, list_distinct(list({title})) AS ts FROM sched WHERE site < 2 GROUP BY site, st),
-      inc AS (SELECT *, row_number() OVER (ORDER BY st) AS rn FROM p WHERE site = 1),
-      cand AS (SELECT i.id, list(a.id ORDER BY abs(a.st - i.st), a.st) AS cs FROM inc i JOIN p a ON a.site = 0 AND abs(a.st - i.st) <= 300 AND (a.st = i.st OR (list_has_any(a.ts, i.ts)
+    sql = f"""WITH RECURSIVE {_sched_sql("'one'")}, p AS MATERIALIZED (SELECT site, st, min(seq) AS id, arg_min(sp, seq) FILTER (sp IS NOT NULL) AS sp, list_distinct(list({title})) AS ts FROM sched WHERE site < 2 GROUP BY site, st),
+      inc AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY st) AS rn FROM p WHERE site = 1),
+      cand AS MATERIALIZED (SELECT i.id, list(a.id ORDER BY abs(a.st - i.st), a.st) AS cs FROM inc i JOIN p a ON a.site = 0 AND abs(a.st - i.st) <= 300 AND (a.st = i.st OR (list_has_any(a.ts, i.ts)
         AND abs(a.st - i.st) < least(CASE WHEN a.sp > a.st THEN a.sp - a.st ELSE 1152921504606846976 END, CASE WHEN i.sp > i.st THEN i.sp - i.st ELSE 1152921504606846976 END))) GROUP BY i.id),
-      step AS (SELECT i.rn, i.id, c.cs FROM inc i LEFT JOIN cand c USING (id)),
+      step AS MATERIALIZED (SELECT i.rn, i.id, c.cs FROM inc i LEFT JOIN cand c USING (id)),
       walk AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::BIGINT AS pick, []::BIGINT[] AS taken
         UNION ALL SELECT rn, id, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END FROM
         (SELECT s.rn, s.id, w.taken, list_filter(coalesce(s.cs, []), lambda x: NOT list_contains(w.taken, x))[1] AS pick FROM walk w JOIN step s ON s.rn = w.rn + 1))
