@@ -359,8 +359,7 @@ def _(spark, sf_dir):
 
 @query("title_key", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(left(text, 200))), '\\s+', ' ', 'g'))) AS k FROM documents WHERE NOT contains(left(text, 200), 'ß')")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("t")).where(~F.contains("t", F.lit("ß")))
-    return rows.select("doc_id", F.md5(text.normal_title(F.col("t")).cast("binary")).alias("k"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normal_title(F.col("text")).cast("binary")).alias("k"))
 
 
 @query("titles_overlap", f"WITH {_HOUR}, a AS (SELECT channel, st, list(title) AS x FROM sched WHERE site = 0 GROUP BY ALL), b AS (SELECT channel, st, list(title) AS y FROM sched WHERE site = 1 GROUP BY ALL) SELECT channel, st, list_has_any(x, y) AS same FROM a JOIN b USING (channel, st)")

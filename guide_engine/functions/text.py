@@ -54,13 +54,13 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), _decode_udf(text)).otherwise(text)
 
 
-_SPACE = re.compile(r"[\s﻿]+")
+_SPACE = re.compile(r"[\t-\r \xa0  -     　﻿]+")
 
 
 def title_key(text: str) -> str:
     """Case, accents and the amount of white space don't count."""
     bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M"))
-    return _SPACE.sub(" ", bare.lower()).strip()
+    return _SPACE.sub(" ", bare.lower()).strip(" ")
 
 
 @F.pandas_udf(T.StringType())
@@ -71,7 +71,7 @@ def _title_udf(texts: pd.Series) -> pd.Series:
 def normal_title(text: Column) -> Column:
     """ASCII titles are folded by built-in functions; only others go through Unicode normalisation in Python."""
     ascii_only = F.lower(F.trim(F.regexp_replace(text, r"[\t\n\x0b\f\r ]+", " ")))
-    return F.when(text.rlike(r"^[\t-\r -~]*$"), ascii_only).otherwise(_title_udf(text))
+    return F.when(text.rlike(r"\A[\t-\r -~]*\z"), ascii_only).otherwise(_title_udf(text))
 
 
 def titles_match(a: Column, b: Column) -> Column:
