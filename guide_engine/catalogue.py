@@ -353,8 +353,7 @@ _SOME = "regexp_replace(html, '&#?[0-9A-Za-z]+;', '', 'g')"
 
 @query("decode_entities", f"SELECT page_id, md5({_SOME}) AS h FROM pages")
 def _(spark, sf_dir):
-    bare = F.regexp_replace("html", "&#?[0-9A-Za-z]+;", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.decode_entities(text.escape_xml(bare)).cast("binary")).alias("h"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.decode_entities(F.col("html")).cast("binary")).alias("h"))
 
 
 @query("title_key", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(left(text, 200))), '\\s+', ' ', 'g'))) AS k FROM documents WHERE NOT contains(left(text, 200), 'ß')")

@@ -38,7 +38,8 @@ def decode(text: str) -> str:
     def one(m: re.Match) -> str:
         if m[3]:
             return _NAMED[m[3]]
-        code = int(m[1]) if m[1] else int(m[2], 16)
+        digits = (m[1] or m[2]).lstrip("0")
+        code = int(digits or "0", 10 if m[1] else 16) if len(digits) < 8 else 0
         return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else m[0]
 
     return _ENTITY.sub(one, text)

@@ -3,6 +3,7 @@
 import hashlib
 import unicodedata
 
+import duckdb
 from guide_engine.catalogue import QUERIES
 
 BLANK = "\t\n\x0b\f\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
@@ -34,3 +35,18 @@ def test_title_key_of_the_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
     assert any("ß" in t[:200] for t in texts.values()) and any(len(t) > 200 for t in texts.values())
     assert {r["doc_id"]: r["k"] for r in QUERIES["title_key"](spark, path).collect()} == {i: md5(key(t)) for i, t in texts.items()}
+
+
+def test_decode_entities_of_the_pages_as_they_stand(spark):
+    path = "/root/testdata/sf0.01"
+    nested = "replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
+    pages = duckdb.sql(f"SELECT page_id, md5({nested}), html <> {nested}, contains(html, '&copy;'), contains(html, '&#') FROM '{path}/pages.parquet'").fetchall()
+    assert any(p[2] for p in pages) and all(p[3] and not p[4] for p in pages)
+    assert {r["page_id"]: r["h"] for r in QUERIES["decode_entities"](spark, path).collect()} == {i: h for i, h, *_ in pages}
+
+
+def test_decode_entities_of_references(spark, tmp_path):
+    pairs = [("&#65;&#x42;&#X43;", "ABC"), ("&#0065;&#x1F600;", "A😀"), ("&amp;lt;&amp;#65;", "&lt;&#65;"), ("&copy;&middot;&nope;", None), ("&#xD800;&#1114112;&#x110000;", None), (f"&#{'9' * 5000};", None), (f"&#{'0' * 5000}65;", "A"), ("&#;&#x;&#6a;&lt &AMP;", None), ("&&lt;&", "&<&"), ("", None)]
+    path = made(spark, tmp_path, "pages", [(i, "u", html) for i, (html, _) in enumerate(pairs)] + [(99, "u", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["h"] for r in QUERIES["decode_entities"](spark, path).collect()}
+    assert got == {i: md5(html if plain is None else plain) for i, (html, plain) in enumerate(pairs)} | {99: None}
