@@ -4,6 +4,8 @@ import hashlib
 import unicodedata
 
 import duckdb
+import pytest
+
 from guide_engine.catalogue import QUERIES
 
 BLANK = "\t\n\x0b\f\r \xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
@@ -50,3 +52,13 @@ def test_decode_entities_of_references(spark, tmp_path):
     path = made(spark, tmp_path, "pages", [(i, "u", html) for i, (html, _) in enumerate(pairs)] + [(99, "u", None)], "page_id long, url string, html string")
     got = {r["page_id"]: r["h"] for r in QUERIES["decode_entities"](spark, path).collect()}
     assert got == {i: md5(html if plain is None else plain) for i, (html, plain) in enumerate(pairs)} | {99: None}
+
+
+@pytest.mark.parametrize("name, sql", [
+    ("new_channels", "SELECT c_custkey FROM '{0}/customer.parquet' EXCEPT SELECT o_custkey FROM '{0}/orders.parquet'"),
+    ("gone_channels", "SELECT o_custkey FROM '{0}/orders.parquet' EXCEPT SELECT c_custkey FROM '{0}/customer.parquet' WHERE c_nationkey < 20"),
+])
+def test_channel_differences_take_all_orders(spark, name, sql):
+    path = "/root/testdata/sf0.1"
+    got = sorted(r["id"] for r in QUERIES[name](spark, path).collect())
+    assert got and got == sorted(r[0] for r in duckdb.sql(sql.format(path)).fetchall())
