@@ -115,19 +115,26 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def best(q_id: int, q: np.ndarray, rough: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest by exact score and id, from scores that may be off in the last bits."""
+def best(q_id: int, q: np.ndarray, rough: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest by exact score and id, from scores that may be off in the last bits; ids, scores and rows.
+
+    The cut widens until it holds k ids, so copies of an id take one place.
+    """
     free = np.flatnonzero(ids != q_id)
     s = rough[free]
-    if len(free) > k:
-        least = np.partition(s, len(s) - k)[len(s) - k]
-        free = free[s >= least - 1e-9]
-    ids, exact = ids[free], cosines(q, x[free])
-    order = np.lexsort((ids, -exact))
-    ids, exact = ids[order], exact[order]
-    _, first = np.unique(ids, return_index=True)
+    most = k
+    while most < len(free):
+        held = free[s >= np.partition(s, len(s) - most)[len(s) - most] - 1e-9]
+        if len(np.unique(ids[held])) >= k:
+            free = held
+            break
+        most *= 4
+    exact = cosines(q, x[free])
+    order = np.lexsort((ids[free], -exact))
+    free, exact = free[order], exact[order]
+    _, first = np.unique(ids[free], return_index=True)
     first = np.sort(first)[:k]
-    return ids[first], exact[first]
+    return ids[free[first]], exact[first], free[first]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -186,16 +193,15 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
             leaf = batch.column("leaf").to_numpy(zero_copy_only=False)
             rough = _unit(probe) @ _unit(x).T if len(x) else np.zeros((len(probe), 0))
             found = [best(a, q, rough[i], ids, x, k) for i, (a, q) in enumerate(zip(probe_ids, probe, strict=True))]
-            where = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
-            got = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+            rows = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(probe_ids, [len(f[0]) for f in found]).astype(np.int64)), pa.array(got.astype(np.int64)), pa.array(np.concatenate([f[1] for f in found]) if found else np.zeros(0)), pa.array([where[i] for i in got.tolist()], pa.int32())],
+                [pa.array(np.repeat(probe_ids, [len(f[0]) for f in found]).astype(np.int64)), pa.array(ids[rows].astype(np.int64)), pa.array(np.concatenate([f[1] for f in found]) if found else np.zeros(0)), pa.array(leaf[rows].astype(np.int32))],
                 names=["query_id", "vec_id", "score", "leaf"],
             )
 
     near = F.row_number().over(_by_query())
-    exact = indexed.mapInArrow(probed, "query_id long, vec_id long, score double, leaf int").dropDuplicates(["query_id", "vec_id"])
-    exact = exact.withColumn("rank", near).where(F.col("rank") <= k).select("query_id", "leaf").collect()  # PROBES * k rows at most
+    exact = indexed.mapInArrow(probed, "query_id long, vec_id long, score double, leaf int").groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "leaf")).alias("top"))
+    exact = exact.select("query_id", "vec_id", "top.score", "top.leaf").withColumn("rank", near).where(F.col("rank") <= k).select("query_id", "leaf").collect()  # PROBES * k rows at most
     most = calibrate(tree, probe_ids, _unit(probe), [(r["query_id"], r["leaf"]) for r in exact], target)
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +242,12 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
             rough = _unit(q[a : a + 256]) @ unit
             for i, q_id in enumerate(ask["query_id"].to_numpy()[a : a + 256]):
                 open_ = np.flatnonzero(np.isin(leaf, leaves[a + i]))
-                got, score = best(q_id, q[a + i], rough[i][open_], ids[open_], x[open_], k)
+                got, score, _ = best(q_id, q[a + i], rough[i][open_], ids[open_], x[open_], k)
                 found.append((np.full(len(got), q_id), got, score))
         return pd.DataFrame({n: np.concatenate([f[j] for f in found]) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
     hits = left.groupBy("near", "part", "side").cogroup(right.groupBy("l", "p", "s")).applyInPandas(search, "query_id long, vec_id long, score double")
-    ranked = hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", near).where(F.col("rank") <= k)
+    ranked = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", near).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

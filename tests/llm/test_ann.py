@@ -54,3 +54,22 @@ def test_rows_that_take_no_part(spark):
     got = run(spark, rows)
     assert {q: [c for c, _ in x] for q, x in got.items()} == {q: [c for c, _ in x] for q, x in want.items()}
     assert run(spark, []) == {} and run(spark, [(1, [1.0])]) == {} and run(spark, [(0, [1.0])]) == {} and run(spark, [(0, None)]) == {}
+
+
+def test_repeated_ids_take_one_place(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(300)]
+    some = [rows[3]] * 40 + [rows[100]] * 40
+    want = brute(rows)
+    assert all(len(x) == 5 for x in want.values())
+    for table in (rows + rows, rows * 7, rows + some):
+        got = run(spark, table, target=1.0)
+        assert {q: [c for c, _ in x] for q, x in got.items()} == {q: [c for c, _ in x] for q, x in want.items()}
+
+
+def test_best_of_an_id_counts():
+    x = np.array([[1.0, 0.0], [1.0, 0.1], [1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [1.0, 0.0], [1.0, 0.0]])
+    ids = np.array([9, 7, 7, 5, 4, 7, 7])
+    q = np.array([1.0, 0.0])
+    got, score, rows = ann.best(9, q, ann._unit(x) @ q, ids, x, 3)
+    assert got.tolist() == [7, 4, 5] and abs(score[0] - 1) < 1e-12 and ids[rows].tolist() == got.tolist()
