@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample (SAMPLE rows by a hash of the id) and indexes every row. A
 query walks the tree with a priority queue of subtrees by distance to their centres, which gives it an
 order of leaves. How many leaves are visited is calibrated: for at most PROBES queries the exact
-neighbours are found by a full pass, and the visits widen until the mean recall reaches TARGET.
+neighbours are found by a full pass, and the visits widen until the mean recall reaches TARGET. A query whose leaves
+hold too few ids goes on until they hold k besides its own, or to the last leaf.
 
 Leaves and the queries that visit them are cut into chunks of bounded size by a hash of the id, so a leaf that
 holds many copies of one vector is shared out. Scores are the double-precision cosine of the original vectors,
@@ -78,12 +79,12 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(node.children) if (near == k).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first walk."""
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """Leaves in the order of a best-bin-first walk: ``most`` of them, and more until they hold ``need`` ids."""
         heap: list[tuple[float, int, Node]] = [(0.0, 0, self.root)]
         found: list[int] = []
-        pushed = 0
-        while heap and len(found) < most:
+        pushed = covered = 0
+        while heap and (len(found) < most or covered < need):
             bound, _, node = heapq.heappop(heap)
             while node.leaf < 0:
                 gap = ((node.centres - q) ** 2).sum(1)
@@ -94,6 +95,8 @@ class Tree:
                         heapq.heappush(heap, (float(gap[k]), pushed, child))
                 node = node.children[best]
             found.append(node.leaf)
+            if held is not None:
+                covered += int(held[node.leaf])
         return found
 
 
@@ -204,6 +207,11 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
     exact = exact.select("query_id", "vec_id", "top.score", "top.leaf").withColumn("rank", near).where(F.col("rank") <= k).select("query_id", "leaf").collect()  # PROBES * k rows at most
     most = calibrate(tree, probe_ids, _unit(probe), [(r["query_id"], r["leaf"]) for r in exact], target)
 
+    # every id counts in one leaf; a row a leaf comes to the driver, and the tree's size is bounded by the sample
+    in_leaf = np.zeros(tree.n_leaves, np.int64)
+    for r in indexed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
+        in_leaf[r["leaf"]] = r["count"]
+
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A query's leaves by their neighbourhood: leaves are numbered along the tree, BESIDE of them make one."""
         tree, dims, _, _ = shared.value
@@ -211,7 +219,7 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
             at, x = _matrix(batch.column("embedding"), dims)
             which, near, seen = [], [], []
             for i, q in zip(at.tolist(), _unit(x), strict=True):
-                path = np.sort(np.array(tree.visits(q, most), np.int32))
+                path = np.sort(np.array(tree.visits(q, most, in_leaf, k + 1), np.int32))
                 for g in np.unique(path // BESIDE):
                     which.append(i)
                     near.append(g)

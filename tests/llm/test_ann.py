@@ -73,3 +73,24 @@ def test_best_of_an_id_counts():
     q = np.array([1.0, 0.0])
     got, score, rows = ann.best(9, q, ann._unit(x) @ q, ids, x, 3)
     assert got.tolist() == [7, 4, 5] and abs(score[0] - 1) < 1e-12 and ids[rows].tolist() == got.tolist()
+
+
+def test_walk_goes_on_until_enough_ids_are_covered():
+    x = np.concatenate([np.eye(4)[i] + 0.01 * np.random.default_rng(i).normal(size=(40, 4)) for i in range(4)])
+    tree = ann.Tree(ann._unit(x), 8)
+    held = np.bincount(tree.leaves_of(ann._unit(x)), minlength=tree.n_leaves)
+    for q in ann._unit(x)[::10]:
+        path = tree.visits(q, 1, held, 60)
+        assert held[path].sum() >= 60 > held[path[:-1]].sum() and path[:1] == tree.visits(q, 1)
+    assert sorted(tree.visits(x[0], 1, held, 1000)) == list(range(tree.n_leaves))
+
+
+def test_queries_in_small_leaves_find_k(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 4)
+    centres = np.eye(16)
+    rows = [(i, centres[i % 8].tolist()) for i in range(1, 2000)]
+    rows += [(0, [0.0] * 15 + [1.0]), (2001, [0.0] * 14 + [0.1, 1.0])]
+    got = run(spark, rows, target=0.9)
+    assert len(got) == 40 and all(len(x) == 5 for x in got.values()) and got[0][0][0] == 2001
+    few = [(i, v) for i, v in rows if i % 500 in (0, 1, 2)][:4]
+    assert all(len(x) == 3 for x in run(spark, few).values())
