@@ -2,9 +2,9 @@
 
 1. Every text becomes its set of word shingles; equal sets collapse into a class (counted by a
    plain aggregate, so thousands of copies cost one row each and no pairs).
-2. A class has minima of HASHES hash functions: BANDS * ROWS of them make band keys, and the low
-   four bits of all are packed into a signature. Links of Jaccard 0.85 share a band key but for a
-   chance of about 1e-6.
+2. A class has minima of HASHES hash functions: ROWS of them make a band key, and the low
+   four bits of all are packed into a signature. There are as many bands as a pair at the threshold
+   needs to share a key but for a chance of MISS.
 3. Star round: within a bucket each class meets one pivot, the member whose buckets are fullest.
    Signatures' bit counts give a collision-corrected estimate; pairs over the margin are confirmed
    on the full sets. Components follow.
@@ -29,12 +29,17 @@ from pyspark.sql import functions as F
 from .common import U64, Tables, mix64, raw_bytes, shingle_hashes, slices, splitmix, word_hashes
 from .graph import components
 
-BANDS, ROWS, HASHES, BITS = 24, 5, 192, 4
+ROWS, HASHES, BITS, MISS = 5, 192, 4, 1e-6
 LANES = HASHES * BITS // 64
 #: Members of a bucket that are compared in one task, and classes whose sets one task holds at a side.
 TILE, BLOCK = 1024, 256
 
 
+def bands_for(threshold: float) -> int:
+    """The fewest bands that a pair at the threshold misses with a chance of MISS at most, as far as the minima go."""
+    return min(HASHES // ROWS, int(np.ceil(np.log(MISS) / np.log1p(-(threshold**ROWS))))) if threshold < 1 else 1
+
+
 def margin(threshold: float, hashes: int = HASHES, bits: int = BITS, sigmas: float = 5.0) -> int:
     """The most lanes that may differ: the estimate lies ``sigmas`` deviations under the threshold."""
     chance = 2.0**-bits
@@ -64,7 +69,7 @@ def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(word_hashes(raw[a:b])[0], size)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
+def sketches(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set, its band keys and packed signature."""
     mult = splitmix(11, HASHES) | U64(1)
     add = splitmix(12, HASHES)
@@ -87,10 +92,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                             minima[:, k] = np.minimum.reduceat(flat * mult[k] + add[k], starts)
                         ones[full, 0] = np.add.reduceat(mix64(flat), starts)
                         ones[full, 1] = np.add.reduceat(mix64(flat ^ U64(0xA5A5A5A5A5A5A5A5)), starts)
-                    keys = np.zeros((n, BANDS), U64)
+                    keys = np.zeros((n, n_bands), U64)
                     for j in range(ROWS):
-                        keys = mix64(keys * U64(0x9FB21C651E98DF25) + minima[:, j * BANDS : (j + 1) * BANDS])
-                    keys = mix64(keys + np.arange(BANDS, dtype=U64))
+                        keys = mix64(keys * U64(0x9FB21C651E98DF25) + minima[:, j * n_bands : (j + 1) * n_bands])
+                    keys = mix64(keys + np.arange(n_bands, dtype=U64))
                     lanes = (mix64(minima) & U64((1 << BITS) - 1)) << shift
                     packed = np.bitwise_or.reduce(lanes.reshape(n, LANES, -1), axis=2) if n else np.zeros((0, LANES), U64)
                 width = np.zeros(len(sets), bool)
@@ -101,7 +106,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(np.int64)))
 
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(count), pa.array(ones[:, 0].view(np.int64)), pa.array(ones[:, 1].view(np.int64)), lists(keys, BANDS), lists(packed, LANES)],
+                    [part.column("doc_id"), pa.array(count), pa.array(ones[:, 0].view(np.int64)), pa.array(ones[:, 1].view(np.int64)), lists(keys, n_bands), lists(packed, LANES)],
                     names=["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
                 )
 
@@ -178,7 +183,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, thresho
     """doc_id, n_shingles, component_id, kept: classes of Jaccard ``threshold`` hundredths on ``size``-word shingles."""
     tables = tables or Tables(spark)
     slack = margin(threshold / 100)
-    all_rows = tables.put("sketches", sketches(docs, size))
+    all_rows = tables.put("sketches", sketches(docs, size, bands_for(threshold / 100)))
     rows = all_rows.where("doc_id is not null and n_shingles > 0")
     group = ["h1", "h2", "n_shingles"]
     classes = tables.put("classes", rows.groupBy(*group).agg(F.min("doc_id").alias("rep")))

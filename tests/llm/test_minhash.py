@@ -114,3 +114,15 @@ def test_intersections_both_ways():
     want = [len(np.intersect1d(items[i], items[j])) for i, j in zip(left, right)]
     assert minhash.intersections(items, left, right, 7).tolist() == want
     assert minhash.intersections(items, left[:9], right[:9]).tolist() == want[:9]
+
+
+def test_bands_follow_the_threshold(spark):
+    for threshold in (80, 85):
+        put, seen = Tables.put, {}
+        try:
+            Tables.put = lambda self, name, df: seen.setdefault(name, put(self, name, df))
+            minhash.near_duplicates(spark, docs(spark, ["a b c d e f g"]), threshold=threshold)
+        finally:
+            Tables.put = put
+        n = len(seen["sketches"].first()["bands"])
+        assert n * minhash.ROWS <= minhash.HASHES and (1 - (threshold / 100) ** minhash.ROWS) ** n <= 1e-6
