@@ -59,8 +59,8 @@ def _string_cell(name: str, bits: int) -> Column:
     return F.coalesce(F.shiftright(F.crc32(F.col(name).cast("string").cast("binary")), 32 - bits), F.lit(0)).cast("int")
 
 
-def points(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, a cell per dimension and the curve index."""
+def points(docs: DataFrame, bits: int = BITS, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, a cell per dimension and the curve index; the row itself as ``doc`` if ``whole``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     size = (F.octet_length(text) + 1).cast("long")
     rows = docs.select(
@@ -70,14 +70,15 @@ def points(docs: DataFrame, bits: int = BITS) -> DataFrame:
         _string_cell("lang", bits).alias("q_lang"),
         _string_cell("source", bits).alias("q_source"),
         F.least(F.floor(F.log2(size)), F.lit((1 << bits) - 1)).cast("int").alias("q_size"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if whole else []),
     )
     return rows.withColumn("curve", curve_index([F.col(f"q_{d}") for d in DIMENSIONS], bits))
 
 
-def shard_runs(spark: SparkSession, docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:
+def shard_runs(spark: SparkSession, docs: DataFrame, shards: int = 8, bits: int = BITS, whole: bool = False) -> DataFrame:
     """Points with shard and slot: runs of the curve order whose counts are at most one apart."""
     tables = Tables(spark)
-    rows = tables.put("points", points(docs, bits))
+    rows = tables.put("points", points(docs, bits, whole))
     rows, total = indexed(tables, "order", rows, ["curve", "text_crc32", "doc_id", "size"])
     n = max(total, 1)
     shard = F.floor(F.col("pos") * shards / F.lit(n)) if n * shards < 1 << 52 else F.expr(f"pos * {shards} div {n}")
@@ -93,8 +94,8 @@ def run_ranges(rows: DataFrame) -> DataFrame:
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int = 8) -> None:
     """The documents as one folder a shard, in slot order."""
-    where = shard_runs(spark, docs, shards).select("doc_id", "shard", "slot")
-    docs.join(where, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = shard_runs(spark, docs, shards, whole=True).select("shard", "slot", "doc.*")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op1_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
