@@ -7,7 +7,9 @@ come first, then the configuration file is read, channels are selected, and the
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+import tempfile
 from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta, timezone
 
@@ -29,6 +31,9 @@ def options(name: str) -> argparse.ArgumentParser:
     p.add_argument("--config-file")
     p.add_argument("--output")
     p.add_argument("--stage")
+    cache = p.add_mutually_exclusive_group()
+    cache.add_argument("--cache", metavar="DIR", nargs="?", const="", default="")
+    cache.add_argument("--no-cache", action="store_true")
     p.add_argument("--get-lineup", metavar="ID")
     p.add_argument("--days", type=int)
     p.add_argument("--offset", type=int, default=0)
@@ -107,7 +112,13 @@ def run(argv: Sequence[str], spark: SparkSession, grabber: dict, ask: Callable[[
     own = {**base, "start_day": base.get("start_day") or start, "days": args.days or base.get("days", 7), "output": target}
     own["sites"] = [{**s, "channels": [c for c in (s["channels"]() if callable(s["channels"]) else s["channels"]) if c["xmltv_id"] in chosen]} for s in base["sites"]]
     own["sites"] = [s for s in own["sites"] if s["channels"]]
-    if own["sites"]:
+    if args.cache:
+        own["cache"] = os.path.abspath(args.cache)
+    if own["sites"] and args.no_cache:
+        with tempfile.TemporaryDirectory(prefix="guide_engine_") as scratch:
+            cli.grab(spark, {**own, "cache": scratch, "prune": False})
+            cli.merge(spark, {**own, "cache": scratch, "prune": False})
+    elif own["sites"]:
         cli.grab(spark, own)
         cli.merge(spark, own)
     return code

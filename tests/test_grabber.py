@@ -28,3 +28,11 @@ def test_protocol(spark, tmp_path):
     code, text = say("--config-file", path, "--new-channels", "add")
     assert code == 0 and len([1 for k, _ in xml_source.parse(text) if k == "channel"]) == 3
     assert say("--config-file", path + "x")[0] == 1
+
+
+def test_cache_options(spark, tmp_path):
+    g = made(tmp_path)
+    count = lambda *argv: (lambda out: (grabber.run(argv, spark, g, None, out), len([1 for k, _ in xml_source.parse(out.getvalue()) if k == "programme"])))(io.StringIO())
+    assert count("--no-cache") == (0, 6) and not list(tmp_path.iterdir())
+    assert count("--cache", str(tmp_path / "own")) == (0, 6) and [p.name for p in tmp_path.iterdir()] == ["own"]
+    assert count("--cache") == (0, 6) and (tmp_path / "cache").is_dir()
