@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, map_arrow
 
 SAMPLE, PROBES, TARGET = 20_000, 200, 0.97
 LEAF_ROWS, MAX_LEAVES, BRANCH = 128, 2048, 8
@@ -186,7 +186,7 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
             leaf = tree.leaves_of(_unit(x)) if len(at) else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array(leaf), batch.column("embedding").take(pa.array(at))], names=["vec_id", "leaf", "embedding"])
 
-    indexed = tables.put("rows", rows.mapInArrow(index, "vec_id long, leaf int, embedding array<double>"))
+    indexed = tables.put("rows", map_arrow(rows, index, "vec_id long, leaf int, embedding array<double>"))
 
     def probed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, dims, probe_ids, probe = shared.value
@@ -203,7 +203,7 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
             )
 
     near = F.row_number().over(_by_query())
-    exact = indexed.mapInArrow(probed, "query_id long, vec_id long, score double, leaf int").groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "leaf")).alias("top"))
+    exact = map_arrow(indexed, probed, "query_id long, vec_id long, score double, leaf int").groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "leaf")).alias("top"))
     exact = exact.select("query_id", "vec_id", "top.score", "top.leaf").withColumn("rank", near).where(F.col("rank") <= k).select("query_id", "leaf").collect()  # PROBES * k rows at most
     most = calibrate(tree, probe_ids, _unit(probe), [(r["query_id"], r["leaf"]) for r in exact], target)
 
@@ -228,7 +228,7 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("embedding").take(take), pa.array(near, pa.int32()), pa.array(seen, pa.list_(pa.int32()))], names=["query_id", "query", "near", "leaves"])
 
     queries = indexed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = tables.put("queries", queries.select("vec_id", "embedding").mapInArrow(walk, "query_id long, query array<double>, near int, leaves array<int>"))
+    queries = tables.put("queries", map_arrow(queries.select("vec_id", "embedding"), walk, "query_id long, query array<double>, near int, leaves array<int>"))
 
     # one row a neighbourhood of leaves: the tree's size is bounded by the sample
     beside = F.floor(F.col("leaf") / BESIDE).cast("int").alias("near")

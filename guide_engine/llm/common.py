@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,12 @@ _MIX_A, _MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset, a new local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a new folder if there is one machine only; else an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: tables between phases need a folder that all executors share")
         found = tempfile.mkdtemp(prefix="guide_engine_")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found
@@ -35,13 +39,23 @@ class Tables:
     """Tables written to the shared folder to cut lineage, so that a lost executor costs one phase.
 
     ``put`` writes and rereads; ``drop`` deletes tables that no later phase reads and
-    lets Spark's cleaner remove the shuffle files of plans that are no longer referenced.
+    lets Spark's cleaner remove the shuffle files of plans that are no longer referenced. What a result
+    is still read from goes with ``drop_all`` or, at the latest, with the application.
     """
 
+    #: Those made since a ``passing`` block began.
+    made: list[list[Tables]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        for block in self.made:
+            block.append(self)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -58,6 +72,20 @@ class Tables:
         gc.collect()
         jvm.System.gc()
 
+    def drop_all(self) -> None:
+        self.drop(*self.paths)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables that operators make inside the block are dropped at its end: its results must have been written by then."""
+    Tables.made.append([])
+    try:
+        yield
+    finally:
+        for tables in Tables.made.pop():
+            tables.drop_all()
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -168,7 +196,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 # ---------------------------------------------------------------- Arrow
 
 
-def slices(batch: pa.RecordBatch, column: str, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``budget`` bytes (one row at least)."""
     text = batch.column(column)
     n = batch.num_rows
@@ -196,8 +224,38 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def _release() -> None:
+    """Give a worker's freed memory back to the system: workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose workers keep no more than their code and caches once a partition is done."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], column: str = "text") -> DataFrame:
+    """The rows whose text ``keep`` says True of, with all their columns, a bounded number of bytes at a time."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, 2 << 20):
+                yield part.filter(pa.array(np.asarray(keep(part.column(at).cast(pa.string())), bool)))
+
+    return map_arrow(df, run, df.schema)
 
 
 def crc_label_fold(col: str = "doc_id") -> Column:

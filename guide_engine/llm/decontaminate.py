@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import keep_rows, map_arrow
+
 PER_EDIT = 16
 SHORT = 32
 BLOCK_BYTES = 8 << 20
@@ -169,7 +171,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "end"])
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, FOUND)
+        found = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), search, FOUND)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], FOUND) if out is None else out
 
@@ -181,9 +183,9 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     for block in _blocks(benchmark):
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        @F.udf("boolean", useArrow=True)
-        def holds(text, shared=shared, key=key):
-            return bool(_matcher(key, shared).matches(normal(text)))
+        def free(texts: pa.Array, shared=shared, key=key) -> list[bool]:
+            matcher = _matcher(key, shared)
+            return [not matcher.matches(normal(t.as_py())) for t in texts]
 
-        docs = docs.where(~holds(F.col("text").cast("string")))
+        docs = keep_rows(docs, free)
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Tables, mix64, raw_bytes, shingle_hashes, slices, splitmix, word_hashes
+from .common import U64, Tables, map_arrow, mix64, raw_bytes, shingle_hashes, slices, splitmix, word_hashes
 from .graph import components
 
 ROWS, HASHES, BITS, MISS = 5, 192, 4, 1e-6
@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>")
+    return map_arrow(rows, sketch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -125,7 +125,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 flat = np.concatenate(sets) if sets else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["doc", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc long, items array<long>")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc long, items array<long>")
 
 
 class Forest:
@@ -241,7 +241,7 @@ def _confirmed(pairs: DataFrame, threshold: int) -> DataFrame:
                 keep[i] = 100 * both >= threshold * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    return pairs.select("a", "b", "ia", "ib").mapInArrow(confirm, "a long, b long")
+    return map_arrow(pairs.select("a", "b", "ia", "ib"), confirm, "a long, b long")
 
 
 def _rest(tables: Tables, ranked: DataFrame, one: DataFrame, buckets: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int, slack: int) -> DataFrame:

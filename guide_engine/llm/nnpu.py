@@ -18,12 +18,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, U64, crc_label_fold, mix64, raw_bytes, slices, word_hashes
+from .common import _LOWER, U64, crc_label_fold, keep_rows, map_arrow, mix64, raw_bytes, slices, word_hashes
 
 STEMS = (4, 5)
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 4000
@@ -224,7 +223,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model, use_style: bool
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(found)], names=["doc_id", "held_out", "score"])
 
     rows = docs.select("doc_id", F.coalesce(crc_label_fold() == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
+    scored = map_arrow(rows, score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
@@ -241,13 +240,4 @@ def run(spark: SparkSession, docs: DataFrame, labels: DataFrame, task: str) -> D
 def keep_below(spark: SparkSession, docs: DataFrame, model: Model, use_style: bool, cut: float) -> DataFrame:
     """The rows of ``docs`` that score under ``cut``, in one pass and with all their columns."""
     shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            raw = np.frombuffer((t or "").encode(), np.uint8)
-            out[i] = score_texts(shared.value, use_style, raw, np.array([0, len(raw)]))[0]
-        return pd.Series(out)
-
-    return docs.where(score(F.col("text").cast("string")) < cut)
+    return keep_rows(docs, lambda texts: score_texts(shared.value, use_style, *raw_bytes(texts)) < cut)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, indexed, slices
+from .common import Tables, indexed, map_arrow, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                 kinds = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int32(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
                 yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds.items()], names=list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
@@ -229,7 +229,7 @@ def pack(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY, tables:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return rows.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return map_arrow(rows, place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

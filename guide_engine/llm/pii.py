@@ -18,16 +18,18 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_arrow, slices
+
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 WINDOW, STEP = 96, 48
 TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_TEXT = 1500, 1200, 20_000  # documents, windows, characters a document
 CONFIDENT = 0.9
+SLICE = 1 << 20  # bytes of text at a time
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -88,8 +90,8 @@ NEVER = -1e4
 
 
 def _code(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where((c >= 32) & (c < 127), c - 30, np.where(c < 32, 1, 98)).astype(np.int64)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where((c >= 32) & (c < 127), c - 30, np.where(c < 32, 1, 98)).astype(np.uint8)
 
 
 def allowed() -> np.ndarray:
@@ -271,7 +273,7 @@ def starts_of(text: str) -> list[int]:
 
 def _window(codes: np.ndarray, start: int) -> np.ndarray:
     own = codes[start : start + WINDOW]
-    return own if len(own) == WINDOW else np.concatenate([own, np.zeros(WINDOW - len(own), np.int64)])
+    return own if len(own) == WINDOW else np.concatenate([own, np.zeros(WINDOW - len(own), own.dtype)])
 
 
 def templates(n: int, seed: int = 8) -> list[str]:
@@ -384,8 +386,7 @@ def find(spark: SparkSession, docs: DataFrame, model: Tagger | None = None) -> D
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, "text", SLICE):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 base = [base_spans(t) for t in texts]
                 more = added_spans(shared.value, texts, base)
@@ -398,7 +399,7 @@ def find(spark: SparkSession, docs: DataFrame, model: Tagger | None = None) -> D
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return map_arrow(rows, scan, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, str, int]]) -> str:
@@ -414,12 +415,17 @@ def masked(text: str, spans: list[tuple[int, str, int]]) -> str:
 def redact(spark: SparkSession, docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """The documents with personal data masked in their text, other columns as they are."""
     shared = spark.sparkContext.broadcast(model or fit(spark, docs))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("string")
-    def mask(column: pd.Series) -> pd.Series:
-        texts = [t or "" for t in column]
-        base = [base_spans(t) for t in texts]
-        more = added_spans(shared.value, texts, base)
-        return pd.Series([None if t is None else masked(t, a + b) for t, a, b in zip(column, base, more, strict=True)], dtype=object)
+    def mask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, SLICE):
+                own = part.column(at).to_pylist()
+                texts = [t or "" for t in own]
+                base = [base_spans(t) for t in texts]
+                more = added_spans(shared.value, texts, base)
+                done = [None if t is None else masked(t, a + b) for t, a, b in zip(own, base, more, strict=True)]
+                columns = [pa.array(done, pa.string()) if k == at else part.column(k) for k in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.withColumn("text", mask(F.col("text").cast("string")))
+    return map_arrow(docs, mask, docs.schema)
