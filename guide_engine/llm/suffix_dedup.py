@@ -16,7 +16,8 @@ are unique. Positions leave as early as they can:
 Names within a key are compared only with each other, so a chance collision needs two different
 windows that share a 50-byte string. Every window is compared with all others of the corpus, whatever their number.
 
-A null text is empty. Rows are told apart by doc_id and crc32 of the text, so repeated rows repeat each other.
+A null text is empty. Rows are told apart by doc_id and a 64-bit hash of the text (without doc_id by two such
+hashes), so repeated rows are one text that occurs often, and repeat each other.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Tables, mix64, raw_bytes, slices, splitmix
+from .common import U64, Tables, map_arrow, mix64, raw_bytes, slices, splitmix
 
 LENGTH, ANCHOR = 200, 50
 REACH = LENGTH - ANCHOR  # a window holds REACH + 1 anchors
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
+ROWS = 1 << 16  # named strings in a batch
 CORE = 19  # windows that stand or fall together before each is ranked by itself
 _BYTES = splitmix(21, 256)
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
@@ -136,7 +138,10 @@ def _segments(bounds: np.ndarray) -> Iterator[tuple[tuple[int, int], tuple[int,
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.crc32(text.cast("binary")).alias("alt"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # the seed comes first: hashes that only end in one would collide together
+    own = F.coalesce("doc_id", F.xxhash64(F.lit(7), "text"))
+    return rows.select("doc_id", own.alias("doc"), F.xxhash64(F.lit(11), "text").alias("alt"), "text")
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -158,7 +163,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, tables: Tables | None =
                     names=["doc", "alt", "at", "n", "key", "name", "twice"],
                 )
 
-    runs = tables.put("runs", keyed.select("doc", "alt", "text").mapInArrow(scan, "doc long, alt long, at long, n short, key long, name long, twice boolean"))
+    runs = tables.put("runs", map_arrow(keyed.select("doc", "alt", "text"), scan, "doc long, alt long, at long, n short, key long, name long, twice boolean"))
     keys = tables.put("keys", runs.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("key"))
     kept = tables.put("kept", runs.join(keys, "key"))
     tables.drop("runs", "keys")
@@ -198,12 +203,23 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, tables: Tables | None =
     # a repeated row's copies have equal runs: one of them stands in ``rest``, so any will do
     wide = rest.join(keyed, ["doc", "alt"]).dropDuplicates(["doc", "alt"]).select("doc", "alt", "text", "todo")
     run_type = "array<struct<at: bigint, n: smallint, key: bigint, single: boolean>>"
-    parts = tables.put("parts", wide.mapInArrow(stretches, f"doc long, alt long, low long, bytes binary, runs {run_type}"))
+    parts = tables.put("parts", map_arrow(wide, stretches, f"doc long, alt long, low long, bytes binary, runs {run_type}"))
 
     def expand(fine: bool):
         """Rows of named strings of the runs: cores shared by up to CORE windows, or each window by itself."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for one in named(batches):
+                held.append(one)
+                size += one.num_rows
+                if size >= ROWS:
+                    yield pa.concat_batches(held)
+                    held, size = [], 0
+            if held:
+                yield pa.concat_batches(held)
+
+        def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     text = np.frombuffer(batch.column("bytes")[i].as_buffer(), np.uint8)
@@ -233,14 +249,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, tables: Tables | None =
         again = rows.groupBy("key", "name").agg(F.count("*").alias("c")).where("c > 1").select("key", "name")
         return rows.join(tables.put(name, again), ["key", "name"])
 
-    coarse = tables.put("coarse", parts.mapInArrow(expand(False), row))
+    coarse = tables.put("coarse", map_arrow(parts, expand(False), row))
     left = repeated(coarse, "cores").groupBy("doc", "alt", "low").agg(F.collect_list(F.struct("at", "n", "key", "single")).alias("runs"))
     left = tables.put("left", left)
     tables.drop("coarse", "cores", "rest")
     each = left.join(parts.drop("runs"), ["doc", "alt", "low"]).select("doc", "alt", "low", "bytes", "runs")
-    each = tables.put("each", each.mapInArrow(expand(True), row))
+    each = tables.put("each", map_arrow(each, expand(True), row))
     edge = repeated(each, "again").where("single").select("doc", "alt", "at", "n")
-    marks = tables.put("marks", whole.union(edge).groupBy("doc", "alt").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
+    marks = tables.put("marks", whole.union(edge).groupBy("doc", "alt").agg(F.collect_set(F.struct("at", "n")).alias("spans")))
     tables.drop("whole", "parts", "left", "each", "again")
     return marks
 
@@ -312,4 +328,4 @@ def op3_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _i64(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _keyed(docs).join(marks, ["doc", "alt"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(rows, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
