@@ -30,34 +30,36 @@ class Stage:
     fields: Sequence[Field] = ()
 
 
+#: What a field must not be: rule -> whether a field of a stage breaks it.
+FIELD_RULES: dict[str, Callable[[Field, Stage], bool]] = {
+    "ids are written before = or ! in a line of their own, so they hold no blank, =, ! or #": lambda f, s: _ID.fullmatch(f.id) is None,
+    "no_ marks declined answers": lambda f, s: f.id.startswith("no_"),
+    "channel is the channel page's own answer": lambda f, s: f.id == "channel",
+    "an id stands for one question of a page": lambda f, s: sum(g.id == f.id for g in s.fields) > 1,
+    "a choice needs options": lambda f, s: f.type in ("selectone", "selectmany") and not f.options,
+}
+
+
+def faults(stages: Sequence[Stage]) -> list[str]:
+    """Everything that is wrong with declared pages, found in one pass over their graph."""
+    last, names = {SELECT_CHANNELS, END}, [s.name for s in stages]
+    found = [f"{s.name}.{f.id}: {rule}" for s in stages for f in s.fields for rule, broken in FIELD_RULES.items() if broken(f, s)]
+    found += [f"{n}: the name is taken" for n in sorted({n for n in names if names.count(n) > 1 or n in last})]
+    found += [f"{s.name}: goes on to {s.next}, which is no page" for s in stages if s.next not in last and s.next not in names]
+    if START not in names:
+        found.append(f"{START}: there is no first page")
+    # pages from which an end is reached, grown backwards from the ends; a missing page was told of above
+    ending = last | {s.next for s in stages if s.next not in names}
+    while more := {s.name for s in stages if s.next in ending} - ending:
+        ending |= more
+    return found + [f"{n}: the pages after it go round" for n in dict.fromkeys(names) if n not in ending]
+
+
 def resolve(stages: Sequence[Stage]) -> dict[str, Stage]:
-    """The stages by name; raises TypeError where a walk from ``start`` couldn't end."""
-    by: dict[str, Stage] = {}
-    for s in stages:
-        if s.name in by or s.name in (SELECT_CHANNELS, END):
-            raise TypeError(f"stage {s.name!r} is declared twice or named like the end")
-        by[s.name] = s
-        ids = [f.id for f in s.fields]
-        for f in s.fields:
-            problem = (
-                "can't be held by a configuration file" if not _ID.fullmatch(f.id)
-                else "starts like a declined answer" if f.id.startswith("no_")
-                else "is written by the grabber itself" if f.id == "channel"
-                else "is asked twice" if ids.count(f.id) > 1
-                else "offers nothing" if f.type in ("selectone", "selectmany") and not f.options
-                else None
-            )
-            if problem:
-                raise TypeError(f"field {f.id!r} of stage {s.name!r} {problem}")
-    at, seen = START, []
-    while at not in (SELECT_CHANNELS, END):
-        if at in seen:
-            raise TypeError(f"stages lead back to {at!r}")
-        if at not in by:
-            raise TypeError(f"no stage is called {at!r}")
-        seen.append(at)
-        at = by[at].next
-    return by
+    """The stages by name; raises TypeError with all their faults."""
+    if wrong := faults(stages):
+        raise TypeError("; ".join(wrong))
+    return {s.name: s for s in stages}
 
 
 def _texts(tag: str, text: str | dict, pad: str) -> str:
