@@ -51,8 +51,9 @@ def _decode_udf(texts: pd.Series) -> pd.Series:
 
 
 def decode_entities(text: Column) -> Column:
-    """Texts without an ampersand stay in the JVM's hands and pass unchanged."""
-    return F.when(F.contains(text, F.lit("&")), _decode_udf(text)).otherwise(text)
+    """Texts without an ampersand pass unchanged; Python sees nulls in their place, for it is called on every row."""
+    needed = F.contains(text, F.lit("&"))
+    return F.when(needed, _decode_udf(F.when(needed, text))).otherwise(text)
 
 
 _SPACE = re.compile(r"[\t-\r \xa0  -     　﻿]+")
@@ -69,10 +70,26 @@ def _title_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else title_key(t))
 
 
+_PLAIN = r"\A[\t-\r -~]*\z"
+
+
 def normal_title(text: Column) -> Column:
     """ASCII titles are folded by built-in functions; only others go through Unicode normalisation in Python."""
-    ascii_only = F.lower(F.trim(F.regexp_replace(text, r"[\t\n\x0b\f\r ]+", " ")))
-    return F.when(text.rlike(r"\A[\t-\r -~]*\z"), ascii_only).otherwise(_title_udf(text))
+    folded = lambda t: F.lower(F.trim(F.regexp_replace(t, r"[\t\n\x0b\f\r ]+", " ")))
+    plain = text.rlike(_PLAIN)
+    return F.when(plain, folded(text)).otherwise(_title_udf(F.when(~plain, text)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _titles_udf(titles: pd.Series) -> pd.Series:
+    return titles.map(lambda x: [None if t is None else title_key(t) for t in x] if x is not None else None)
+
+
+def normal_titles(titles: Column) -> Column:
+    """``normal_title`` of each element; an array goes to Python only if one of its titles has to."""
+    folded = lambda t: F.lower(F.trim(F.regexp_replace(t, r"[\t\n\x0b\f\r ]+", " ")))
+    plain = F.coalesce(F.forall(titles, lambda t: F.coalesce(t.rlike(_PLAIN), F.lit(True))), F.lit(True))
+    return F.when(plain, F.transform(titles, folded)).otherwise(_titles_udf(F.when(~plain, titles)))
 
 
 def titles_match(a: Column, b: Column) -> Column:
@@ -102,5 +119,3 @@ def onscreen(season: Column, episode: Column) -> Column:
 
 def yes_no(text: Column) -> Column:
     return F.when(text == "yes", True).when(text == "no", False)
-
-

@@ -40,3 +40,10 @@ def ddl(fields: dict[str, str]) -> str:
 
 def struct(fields: dict[str, str]) -> str:
     return "struct<" + ", ".join(f"{k}: {v}" for k, v in fields.items()) + ">"
+
+
+def pairs(x):
+    """A row made of dicts with its maps as lists of pairs, as Arrow takes them."""
+    if isinstance(x, dict):
+        return {k: list(v.items()) if k == "attrs" and isinstance(v, dict) else pairs(v) for k, v in x.items()}
+    return [pairs(v) for v in x] if isinstance(x, list) else x

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema
@@ -42,42 +44,37 @@ class Node:
 
 
 _NAME = r"[^\s<>/=\"'!?][^\s<>/=\"']*"
-_OPEN = re.compile(rf"<({_NAME})((?:\s+|\"[^\"]*\"|'[^']*'|[^<>\"'])*?)(/?)>")
+_OPEN = re.compile(rf"<({_NAME})((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _CLOSE = re.compile(rf"</\s*({_NAME})?[^>]*>")
 _ATTR = re.compile(rf"({_NAME})(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
-_SKIPS = (("<!--", "-->"), ("<?", "?>"))
+_SKIPS = (("<!--", "-->"), ("<?", "?>"), ("<![CDATA[", "]]>"))
+_BRACKETS, _UNENDED, _ANY_TAG = re.compile(r"[\[\]>]"), re.compile(r"<[^<>]*$"), re.compile(r"<[^>]*>?")
 
 
 class Scanner:
-    def __init__(self, head_limit: int = HEAD_LIMIT, tolerate_missing_id: bool = False, zones: dict[str, int] | None = None):
-        self.buffer, self.base, self.head_limit, self.tolerant, self.zones = "", 0, head_limit, tolerate_missing_id, zones
-        self.lines, self.rooted, self.over = [0], False, False
-        self.units: dict[int, int] = {}
-        self.kept_line = ""
+    """Holds one incomplete element and the place where it stands: a cursor moves through the buffer, which is cut only when more text comes."""
+
+    def __init__(self, head_limit: int = HEAD_LIMIT, tolerate_missing_id: bool = False, zones: dict[str, int] | None = None, typed: bool = False):
+        # typed events hold instants and pairs where others hold their JSON
+        self._dated, self._pairs = (dict, lambda x: list(x.items())) if typed else (json_date, dict)
+        self.buffer, self.base, self.pos, self.head_limit, self.tolerant, self.zones = "", 0, 0, head_limit, tolerate_missing_id, zones
+        self.line, self.units, self.rooted, self.over = 1, 0, False, False  # the cursor's line, and the UTF-16 units before it in that line
         self.warned: list[dict] = []
 
     # ------------------------------------------------------------ positions
 
     def _place(self, at: int) -> tuple[int, int]:
-        """1-based line, and column in UTF-16 units."""
-        k = bisect_right(self.lines, at) - 1
-        start = self.lines[k]
-        line = self.kept_line[start - self.kept_at : at - self.kept_at] if start < self.base else self.buffer[start - self.base : at - self.base]
-        if start < self.base and at > self.base:
-            line = self.kept_line[start - self.kept_at :] + self.buffer[: at - self.base]
-        return k + 1, 1 + len(line) + sum(c > "￿" for c in line)
-
-    kept_at = 0
-
-    def _drop(self, n: int) -> None:
-        """Forget ``n`` characters, but for the part of the current line."""
-        gone = self.buffer[:n]
-        line = gone.rfind("\n")
-        if line >= 0:
-            self.kept_line, self.kept_at = gone[line + 1 :], self.base + line + 1
-        else:
-            self.kept_line += gone
-        self.buffer, self.base = self.buffer[n:], self.base + n
+        """1-based line, and column in UTF-16 units, of a place at the cursor or after it."""
+        at -= self.base
+        start = self.buffer.rfind("\n", self.pos, at) + 1
+        if not start:
+            return self.line, 1 + self.units + _units(self.buffer[self.pos : at])
+        return self.line + self.buffer.count("\n", self.pos, at), 1 + _units(self.buffer[start:at])
+
+    def _move(self, end: int) -> None:
+        """Set the cursor: nothing before it is looked at again."""
+        line, col = self._place(self.base + end)
+        self.line, self.units, self.pos = line, col - 1, end
 
     def warn(self, code: str, message: str, at: int) -> None:
         line, col = self._place(at)
@@ -86,17 +83,16 @@ class Scanner:
     # ------------------------------------------------------------ pieces of text
 
     def feed(self, chunk: str) -> Iterator[tuple[str, dict]]:
-        offset = self.base + len(self.buffer)
-        self.lines += [offset + m.end() for m in re.finditer("\n", chunk)]
-        self.buffer += chunk
+        self.buffer, self.base, self.pos = self.buffer[self.pos :] + chunk, self.base + self.pos, 0
         yield from self._events(False)
 
     def close(self) -> Iterator[tuple[str, dict]]:
         yield from self._events(True)
         if not self.rooted:
             return
-        if self.buffer.strip() and not self.over:
-            at = self.base + len(self.buffer) - len(self.buffer.lstrip())
+        rest = self.buffer[self.pos :]
+        if rest.strip() and not self.over:
+            at = self.base + len(self.buffer) - len(rest.lstrip())
             self.warn("truncated-input", "input ended inside an element", at)
         yield from self._warnings()
 
@@ -110,7 +106,7 @@ class Scanner:
                 got = self._next()
             except _More:
                 self.warned = []
-                if not self.rooted and len(self.buffer) > self.head_limit:
+                if not self.rooted and len(self.buffer) - self.pos > self.head_limit:
                     raise NotAGuide(f"no <tv> in the first {self.head_limit} characters") from None
                 return
             if got:
@@ -120,7 +116,9 @@ class Scanner:
     def _skip(self, at: int) -> int | None:
         """The end of a comment, instruction, CDATA or declaration that starts here."""
         b = self.buffer
-        for start, end in (*_SKIPS, ("<![CDATA[", "]]>")):
+        if b[at + 1 : at + 2] not in ("!", "?", ""):
+            return None
+        for start, end in _SKIPS:
             if b.startswith(start, at):
                 stop = b.find(end, at + len(start))
                 if stop < 0:
@@ -129,32 +127,30 @@ class Scanner:
             if len(b) - at < len(start) and start.startswith(b[at:]):
                 raise _More
         if b.startswith("<!", at):
-            depth, k = 0, at
-            for m in re.compile(r"[\[\]>]").finditer(b, at):
+            depth = 0
+            for m in _BRACKETS.finditer(b, at):
                 depth += {"[": 1, "]": -1}.get(m[0], 0)
-                k = m.end()
                 if m[0] == ">" and depth <= 0:
-                    return k
+                    return m.end()
             raise _More
         return None
 
     def _tag(self, at: int) -> re.Match:
         m = _OPEN.match(self.buffer, at)
         if not m:
-            if self.buffer.find(">", at) < 0 or re.compile(r"<[^<>]*$").match(self.buffer, at):
+            if self.buffer.find(">", at) < 0 or _UNENDED.match(self.buffer, at):
                 raise _More
-            bad = re.compile(r"<[^>]*>?").match(self.buffer, at)
-            raise _Bad(bad.end())
+            raise _Bad(_ANY_TAG.match(self.buffer, at).end())
         return m
 
     def _next(self) -> tuple[str, dict] | None:
         """One top-level construct."""
         b = self.buffer
-        at = b.find("<")
+        at = b.find("<", self.pos)
         if at < 0:
             raise _More
         if (end := self._skip(at)) is not None:
-            self._drop(end)
+            self._move(end)
             return None
         where = self.base + at
         if b.startswith("</", at):
@@ -165,7 +161,7 @@ class Scanner:
                 self.over = True
             else:
                 self.warn("malformed-markup", f"unexpected </{m[1] or ''}>", where)
-            self._drop(m.end())
+            self._move(m.end())
             return None
         try:
             m = self._tag(at)
@@ -173,15 +169,15 @@ class Scanner:
                 if m[1] != "tv":
                     raise NotAGuide(f"the root is <{m[1]}>, not <tv>")
                 self.rooted, root = True, Node("tv", where, self._attributes(m))
-                self.over = bool(m[3])
+                self.over = m[2].endswith("/")
                 meta: dict = {}
                 self._fill(meta, root, "meta")
-                self._drop(m.end())
+                self._move(m.end())
                 return "meta", meta
             node, end = self._node(at)
         except _Bad as bad:
             self.warn("malformed-markup", "unreadable tag", where)
-            self._drop(bad.args[0])
+            self._move(bad.args[0])
             return None
         got = None
         if node.name == "programme":
@@ -190,12 +186,14 @@ class Scanner:
             got = self._channel(node)
         else:
             self.warn("unknown-element", f"<{node.name}>", node.at)
-        self._drop(end)
+        self._move(end)
         return got
 
     # ------------------------------------------------------------ trees
 
     def _attributes(self, m: re.Match) -> list:
+        if not m[2]:
+            return []
         out, seen, where = [], set(), self.base + m.start(2)
         for a in _ATTR.finditer(m[2]):
             name = a[1]
@@ -212,7 +210,7 @@ class Scanner:
         b = self.buffer
         m = self._tag(at)
         root = Node(m[1], self.base + at, self._attributes(m))
-        if m[3]:
+        if m[2].endswith("/"):
             return root, m.end()
         stack, k = [root], m.end()
         while stack:
@@ -244,7 +242,7 @@ class Scanner:
                 continue
             child = Node(m[1], self.base + nxt, self._attributes(m))
             stack[-1].nodes.append(child)
-            if not m[3]:
+            if not m[2].endswith("/"):
                 stack.append(child)
             k = m.end()
         return root, k
@@ -254,7 +252,7 @@ class Scanner:
     def _typed(self, type_: str, name: str, value: str, at: int, empty_zero: bool = False):
         try:
             if type_ == "date":
-                return json_date(date_of(value, self.zones))
+                return self._dated(date_of(value, self.zones))
             if type_ == "number":
                 return number(value, empty_zero)
             if type_ == "yes-no":
@@ -282,7 +280,7 @@ class Scanner:
             else:
                 more[name] = value
         if more:
-            out["attrs"] = more
+            out["attrs"] = self._pairs(more)
 
     def _text(self, node: Node) -> str:
         for child in node.nodes:
@@ -322,7 +320,7 @@ class Scanner:
             return True
         if kind == "date":
             try:
-                return json_date(date_of(self._text(node), self.zones))
+                return self._dated(date_of(self._text(node), self.zones))
             except DateError as e:
                 self.warn("invalid-element", f"<date>: {e.reason}", node.at)
                 return None
@@ -430,6 +428,11 @@ class _Bad(Exception):
     """A tag that can't be read; its argument is where to go on."""
 
 
+def _units(text: str) -> int:
+    """UTF-16 code units."""
+    return len(text) if text.isascii() else len(text) + sum(c > "\uffff" for c in text)
+
+
 def json_date(d: dict) -> dict:
     return {**d, "ts": d["ts"].strftime("%Y-%m-%dT%H:%M:%S.000Z") if d["ts"].year >= 1000 else d["ts"].isoformat().replace("+00:00", ".000Z")}
 
@@ -451,11 +454,25 @@ def parse(text: str | Iterable[str], **options) -> Iterator[tuple[str, dict]]:
     yield from scanner.close()
 
 
-EVENT = "path string, seq long, kind string, payload string, code string, message string, line int, col int"
+EVENT = f"path string, seq long, kind string, meta {schema.struct(schema.META)}, channel {schema.struct(schema.CHANNEL)}, programme {schema.struct(schema.PROGRAMME)}, code string, message string, line int, col int"
+BATCH = 1024  # events handed over at once
+
+
+def batches_of(documents: Iterable[tuple[str, Iterator[tuple[str, dict]]]], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Typed events of documents (path, events) as Arrow batches of ``EVENT``: nested columns, no text in between."""
+    rows: list[dict] = []
+    for path, found in documents:
+        for seq, (kind, value) in enumerate(found):
+            rows.append({"path": path, "seq": seq, "kind": kind} | (value if kind == "warning" else {kind: value}))
+            if len(rows) == BATCH:
+                yield pa.RecordBatch.from_pylist(rows, fields)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, fields)
 
 
 class GuideSource(DataSource):
-    """spark.read.format("guide_xml").load(path): one row an event, payload as JSON; a file is a partition."""
+    """spark.read.format("guide_xml").load(path): one row an event, its element in the column of its kind; a file is a partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -465,11 +482,12 @@ class GuideSource(DataSource):
         return EVENT
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return _Reader(self.options, to_arrow_schema(schema))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options):
+    def __init__(self, options, fields: pa.Schema):
+        self.fields = fields
         self.path = options["path"]
         self.options = {"tolerate_missing_id": options.get("tolerateMissingId", "false").lower() == "true"}
 
@@ -497,38 +515,24 @@ class _Reader(DataSourceReader):
                     yield utf8.decode(block)
             yield utf8.decode(b"", True)
 
-        for seq, (kind, value) in enumerate(parse(chunks(), **self.options)):
-            w = value if kind == "warning" else {}
-            yield partition.value, seq, kind, None if w else json.dumps(value, ensure_ascii=False), w.get("code"), w.get("message"), w.get("line"), w.get("col")
+        yield from batches_of([(partition.value, parse(chunks(), typed=True, **self.options))], self.fields)
 
 
 def parse_column(docs: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Events of documents held in a string column, without leaving the executors."""
+    fields = to_arrow_schema(T.StructType.fromDDL(EVENT))
 
-    def run(batches):
-        import pandas as pd
-
-        for frame in batches:
-            rows = []
-            for p, text in zip(frame[path], frame[content], strict=True):
-                for seq, (kind, value) in enumerate(parse(text or "")):
-                    w = value if kind == "warning" else {}
-                    rows.append((p, seq, kind, None if w else json.dumps(value, ensure_ascii=False), w.get("code"), w.get("message"), w.get("line"), w.get("col")))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in EVENT.split(", ")])
-            yield out.astype({"line": "Int32", "col": "Int32"})
-
-    return docs.select(path, content).mapInPandas(run, EVENT)
-
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            documents = ((p.as_py(), parse(t.as_py() or "", typed=True)) for p, t in zip(batch.column(0), batch.column(1), strict=True))
+            yield from batches_of(documents, fields)
 
-_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "timeZone": "UTC"}
+    return docs.select(path, content).mapInArrow(run, EVENT)
 
 
 def tables(events: DataFrame) -> dict[str, DataFrame]:
     """meta, channels, programmes and warnings of events, typed as in ``schema``."""
-    out = {}
-    for name, kind, fields in (("meta", "meta", schema.META), ("channels", "channel", schema.CHANNEL), ("programmes", "programme", schema.PROGRAMME)):
-        rows = events.where(F.col("kind") == kind)
-        out[name] = rows.select("path", "seq", F.from_json("payload", schema.struct(fields), _OPTIONS).alias("x")).select("path", "seq", "x.*")
+    out = {name: events.where(F.col("kind") == kind).select("path", "seq", f"{kind}.*") for name, kind in (("meta", "meta"), ("channels", "channel"), ("programmes", "programme"))}
     out["warnings"] = events.where("kind = 'warning'").select("path", "seq", "code", "message", "line", "col")
     return out
 
