@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import config, lineups, schema
 from .functions import dates, text
 from .operators import fold, fusion, ingest, match, polish, registry
+from .plans import guide
 from .sources import xml_sink, xml_source
 
 FIRST = 1704067200  # 2024-01-01
@@ -123,12 +125,8 @@ def _(spark, sf_dir):
 @query("channel_merge_names", f"""WITH {_sched_sql()}, k AS (SELECT channel, title, min(site * 1000000 + seq % 1000000) AS o FROM sched GROUP BY channel, title)
   SELECT channel, string_agg(title, '|' ORDER BY o) AS names FROM k GROUP BY channel""")
 def _(spark, sf_dir):
-    rows = sched(spark, sf_dir).withColumn("o", F.expr("site * 1000000 + seq % 1000000"))
-    # one row a name and channel before names are gathered: lists stay as short as the distinct names
-    small = rows.groupBy("channel", "title").agg(F.min("o").alias("o"))
-    names = small.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("o", "title"))).alias("x"))
-    names = names.select("channel", fusion.distinct_by(F.expr("transform(x, e -> e.title)"), lambda e: e).alias("names"))
-    return names.select("channel", F.array_join("names", "|").alias("names"))
+    names = fusion.first_seen(sched(spark, sf_dir), ["channel"], "title", F.expr("site * 1000000 + seq % 1000000"))
+    return names.select("channel", F.array_join("values", "|").alias("names"))
 
 
 @query("channel_element", "SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_name END, CAST(c_custkey AS VARCHAR)) AS display_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS icon FROM customer")
@@ -148,8 +146,12 @@ def _hourly(spark, sf_dir):
 
 @query("pool_same_instant", f"WITH {_HOUR} SELECT channel, site, st, count(*) AS n, arg_min(seq, seq) AS base, arg_min(sp, seq) FILTER (sp IS NOT NULL) AS stop FROM sched GROUP BY channel, site, st")
 def _(spark, sf_dir):
-    stop = F.min_by("sp", F.when(F.col("sp").isNotNull(), F.col("seq"))).alias("stop")
-    return _hourly(spark, sf_dir).groupBy("channel", "site", "st").agg(F.count("*").alias("n"), F.min("seq").alias("base"), stop)
+    rows = _hourly(spark, sf_dir).withColumn("own", F.concat_ws("/", "channel", "site"))
+    # one list a channel and site: nothing to match, equal instants become one
+    lists = rows.select(F.col("own").alias("channel"), F.lit(0).alias("day_idx"), F.lit(FIRST).cast("long").alias("midnight"), F.lit(0).alias("source"), "seq", F.col("seq").alias("id"), "st", "sp", F.array("title").alias("titles"))
+    pooled = fold.finished(fold.fold(lists), lists)
+    where = F.split("channel", "/")
+    return pooled.select(where[0].alias("channel"), where[1].cast("int").alias("site"), "st", F.col("n_rows").alias("n"), F.col("group_id").alias("base"), F.col("sp").alias("stop"))
 
 
 _ORDER = "site * 10000000 + seq"
@@ -157,24 +159,22 @@ _ORDER = "site * 10000000 + seq"
 
 @query("fuse_scalars", f"WITH {_HOUR} SELECT channel, st, arg_min(sp, {_ORDER}) FILTER (sp IS NOT NULL) AS stop, arg_min(title, {_ORDER}) AS title, arg_min(seq, {_ORDER}) FILTER (seq % 5 = 0) AS fifth FROM sched GROUP BY channel, st")
 def _(spark, sf_dir):
-    rows = _hourly(spark, sf_dir).withColumn("o", F.expr(_ORDER))
-    first = lambda value, name: F.min_by(value, F.when(value.isNotNull(), F.col("o"))).alias(name)
-    return rows.groupBy("channel", "st").agg(first(F.col("sp"), "stop"), first(F.col("title"), "title"), first(F.expr("if(seq % 5 = 0, seq, null)"), "fifth"))
+    rows = _hourly(spark, sf_dir).selectExpr("channel", "st", f"{_ORDER} as o", "sp as stop", "title as name", "if(seq % 5 = 0, seq, null) as fifth")
+    fused = fusion.fuse(rows, ["channel", "st"], "o", {"stop": "bigint", "name": "string", "fifth": "bigint"})
+    return fused.select("channel", "st", "stop", F.col("name").alias("title"), "fifth")
 
 
 @query("fuse_union_titles", f"WITH {_HOUR}, k AS (SELECT channel, st, title, min({_ORDER}) AS o FROM sched GROUP BY channel, st, title) SELECT channel, st, string_agg(title, '|' ORDER BY o) AS titles FROM k GROUP BY channel, st")
 def _(spark, sf_dir):
-    rows = _hourly(spark, sf_dir).groupBy("channel", "st").agg(F.array_sort(F.collect_list(F.struct(F.expr(_ORDER).alias("o"), "title"))).alias("x"))
-    union = fusion.union_by(F.expr("transform(x, e -> e.title)"), F.lit(None), lambda e: e, "array<string>")
-    return rows.select("channel", "st", F.array_join(union, "|").alias("titles"))
+    titles = fusion.first_seen(_hourly(spark, sf_dir), ["channel", "st"], "title", F.expr(_ORDER))
+    return titles.select("channel", "st", F.array_join("values", "|").alias("titles"))
 
 
 @query("fuse_programmes", f"""WITH {_HOUR}, k AS (SELECT channel, st, title, min({_ORDER}) AS o FROM sched GROUP BY channel, st, title),
   t AS (SELECT channel, st, string_agg(title, '|' ORDER BY o) AS titles FROM k GROUP BY channel, st),
-  s AS (SELECT channel, st, arg_min(sp, {_ORDER}) FILTER (sp IS NOT NULL) AS stop FROM sched GROUP BY channel, st) SELECT channel, st, titles, stop FROM t JOIN s USING (channel, st)
-  WHERE (channel, st) IN (SELECT (channel, st) FROM sched GROUP BY channel, st HAVING count(*) > 1)""")
+  s AS (SELECT channel, st, arg_min(sp, {_ORDER}) FILTER (sp IS NOT NULL) AS stop FROM sched GROUP BY channel, st) SELECT channel, st, titles, stop FROM t JOIN s USING (channel, st)""")
 def _(spark, sf_dir):
-    rows = _hourly(spark, sf_dir).withColumn("o", F.expr(_ORDER)).withColumn("n", F.count("*").over(Window.partitionBy("channel", "st"))).where("n > 1")
+    rows = _hourly(spark, sf_dir).withColumn("o", F.expr(_ORDER))
     texts = "array(struct(title as value, cast(null as string) as lang))"
     rows = rows.selectExpr("channel", "st", "o", "sp as stop", f"{texts} as title")
     fused = fusion.fuse(rows, ["channel", "st"], "o", {"stop": "bigint", "title": "array<struct<value: string, lang: string>>"})
@@ -348,15 +348,17 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(escaped.cast("binary")).alias("h"), F.length(escaped).cast("long").alias("n"))
 
 
-_SOME = "regexp_replace(html, '&#?[0-9A-Za-z]+;', '', 'g')"
+_DECODED = "html"
+for _char, _entity in text.ESCAPES[::-1]:  # the ampersand last: nothing is decoded twice
+    _DECODED = f"replace({_DECODED}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
 
 
-@query("decode_entities", f"SELECT page_id, md5({_SOME}) AS h FROM pages")
+@query("decode_entities", f"SELECT page_id, md5({_DECODED}) AS h FROM pages")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.decode_entities(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("title_key", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(left(text, 200))), '\\s+', ' ', 'g'))) AS k FROM documents WHERE NOT contains(left(text, 200), 'ß')")
+@query("title_key", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))) AS k FROM documents")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normal_title(F.col("text")).cast("binary")).alias("k"))
 
@@ -378,12 +380,12 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- selection, lineups, joins
 
 
-@query("new_channels", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0")
+@query("new_channels", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
 def _(spark, sf_dir):
     return registry.only_in(table(spark, sf_dir, "customer").selectExpr("c_custkey as id"), table(spark, sf_dir, "orders").selectExpr("o_custkey as id"), "id")
 
 
-@query("gone_channels", "SELECT o_custkey AS id FROM orders WHERE o_custkey % 7 = 0 EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 20")
+@query("gone_channels", "SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey < 20")
 def _(spark, sf_dir):
     return registry.only_in(table(spark, sf_dir, "orders").selectExpr("o_custkey as id"), table(spark, sf_dir, "customer").where("c_nationkey < 20").selectExpr("c_custkey as id"), "id")
 
@@ -394,46 +396,61 @@ def _(spark, sf_dir):
     return registry.selected(table(spark, sf_dir, "customer"), chosen, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("number_selection", "SELECT DISTINCT CAST(n AS BIGINT) AS n FROM (SELECT unnest(range(2, 6)) AS n UNION ALL SELECT unnest([9, 4]) UNION ALL SELECT unnest(range(7, 9)))")
+@query("number_selection", """WITH t AS (SELECT c_custkey, (c_custkey % 30 + 1) || '-' || (c_nationkey % 30 + 1) || ',' || (c_custkey % 7 + 1) AS s, c_custkey % 30 + 1 AS a, c_nationkey % 30 + 1 AS b, c_custkey % 7 + 1 AS c FROM customer),
+  p AS (SELECT c_custkey, unnest(list_distinct(list_append(range(least(a, b) - 1, greatest(a, b)), c - 1))) AS n FROM t WHERE greatest(a, b) <= 28)
+  SELECT t.c_custkey, (SELECT string_agg(n, ',' ORDER BY n) FROM p WHERE p.c_custkey = t.c_custkey) AS picks FROM t""")
 def _(spark, sf_dir):
-    pairs = spark.sql("select explode(split('2-5,9,4,8-7', ',')) as p").selectExpr("cast(split(p, '-')[0] as bigint) as a", "cast(coalesce(try_element_at(split(p, '-'), 2), p) as bigint) as b")
-    return pairs.selectExpr("explode(sequence(least(a, b), greatest(a, b))) as n").distinct()
+    asked = F.concat((F.col("c_custkey") % 30 + 1).cast("string"), F.lit("-"), (F.col("c_nationkey") % 30 + 1).cast("string"), F.lit(","), (F.col("c_custkey") % 7 + 1).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(config.selection(asked, F.lit(28)), ",").alias("picks"))
 
 
 @query("distinct_first_seen", "SELECT o_custkey AS id, min(o_orderkey) AS first_seen FROM orders GROUP BY o_custkey")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("first_seen"))
+    return registry.distinct_ids(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").selectExpr("o_custkey as id", "first_seen")
 
 
-@query("lineup_entries", """SELECT r_name AS lineup, n_name AS section, s_name AS station, lpad(CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey, s_suppkey) AS VARCHAR), 3, '0') AS preset
+@query("lineup_entries", """SELECT r_name AS lineup, CAST(s_suppkey AS VARCHAR) AS id, s_name AS station, CASE WHEN s_suppkey % 2 = 0 THEN n_name ELSE 'en' END AS lang, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS preset
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    preset = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey", "s_suppkey")).cast("string")
-    return rows.select(F.col("r_name").alias("lineup"), F.col("n_name").alias("section"), F.col("s_name").alias("station"), F.lpad(preset, 3, "0").alias("preset"))
+    channels = rows.selectExpr("r_name as site", "s_suppkey as channel_rank", "cast(s_suppkey as string) as xmltv_id", "s_name as name", "if(s_suppkey % 2 = 0, n_name, null) as lang", "cast(null as string) as logo", "lpad(cast(s_suppkey as string), 6, '0') as preset")
+    return lineups.entries(channels, "en").select("lineup", F.col("station.xmltv_id").alias("id"), F.col("station.name").alias("station"), "station.lang", "preset")
+
 
+def _guide(spark, sf_dir, **options):
+    """``events`` as the cache of three sites, built into a guide without matching."""
+    at = lambda c: f"if({c} is null, null, named_struct('ts', timestamp_seconds({c}), 'off', 0, 'prec', 14))"
+    given = {"start": at("st"), "stop": at("sp"), "showview": "cast(seq as string)", "title": "array(named_struct('value', title, 'lang', cast(null as string), 'attrs', cast(null as map<string,string>)))"}
+    fields = [f"{given[f]} as {f}" if f in given else "channel" if f == "channel" else f"cast(null as {t}) as {f}" for f, t in schema.PROGRAMME.items()]
+    programmes = sched(spark, sf_dir).selectExpr("seq", *fields, "concat('s', site) as site", "channel as channel_id", "date_add(date'2024-01-01', day_idx) as day")
+    rows = [(f"s{k}", k, c, f"ch{c}", f"ch{c}", f"Channel {c}", None, None, None) for k in range(3) for c in range(10)]
+    channels = spark.createDataFrame(rows, "site string, site_rank int, channel_rank int, xmltv_id string, site_id string, name string, lang string, logo string, preset string")
+    return guide.build(spark, channels, programmes, "2024-01-01", 31, guide.MergeOptions(programme_strategy="concat", fill_stop_ms=None, clip_overlaps=False, **options))["programmes"]
 
-@query("site_transform", f"WITH {_sched_sql()} SELECT channel, site, seq, CASE WHEN site = 1 THEN upper(title) ELSE title END AS title FROM sched WHERE NOT (site = 2 AND seq % 7 = 0)")
+
+@query("site_transform", f"WITH {_sched_sql()} SELECT channel, seq, CASE WHEN site = 1 THEN upper(title) ELSE title END AS title FROM sched WHERE NOT (site = 2 AND seq % 7 = 0)")
 def _(spark, sf_dir):
-    rows = sched(spark, sf_dir)
-    one = rows.where("site <> 2 or seq % 7 <> 0")
-    return one.select("channel", "site", "seq", F.when(F.col("site") == 1, F.upper("title")).otherwise(F.col("title")).alias("title"))
+    loud = lambda rows: rows.withColumn("title", F.transform("title", lambda t: t.withField("value", F.upper(t["value"]))))
+    rows = _guide(spark, sf_dir, site_transforms={"s1": loud, "s2": lambda rows: rows.where("seq % 7 <> 0")})
+    return rows.select("channel", F.col("showview").cast("long").alias("seq"), F.col("title")[0]["value"].alias("title"))
 
 
-@query("guide_transform", f"WITH {_sched_sql()}, {_NEXT} SELECT channel, seq, CASE WHEN next_st - st < 600 THEN 'short' ELSE 'long' END AS kind FROM n WHERE next_st IS NOT NULL AND seq % 11 <> 0")
+@query("guide_transform", f"WITH {_sched_sql()}, {_NEXT.replace('ORDER BY st, seq', 'ORDER BY st, day_idx, site, seq')} SELECT channel, seq, CASE WHEN next_st - st < 600 THEN 'short' ELSE 'long' END AS kind FROM n WHERE next_st IS NOT NULL AND seq % 11 <> 0")
 def _(spark, sf_dir):
-    rows = polish.with_next(sched(spark, sf_dir)).where("next_st is not null and seq % 11 <> 0")
-    return rows.select("channel", "seq", F.when(F.col("next_st") - F.col("st") < 600, "short").otherwise("long").alias("kind"))
+    gap = F.unix_seconds("next_start.ts") - F.unix_seconds("start.ts")
+    change = lambda rows: rows.where(F.col("next_start").isNotNull() & (F.col("showview").cast("long") % 11 != 0)).withColumn("kind", F.when(gap < 600, "short").otherwise("long"))
+    return _guide(spark, sf_dir, transform=change).select("channel", F.col("showview").cast("long").alias("seq"), "kind")
 
 
-@query("star_priority_join", """SELECT l_orderkey, l_linenumber, o_orderpriority, s_name, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+@query("star_priority_join", """SELECT l_orderkey, l_linenumber, o_orderpriority, n_name AS site, n_nationkey AS site_rank FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND o_orderpriority LIKE '1%'""")
 def _(spark, sf_dir):
-    facts = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1997-01-01 00:00:00'").select("l_orderkey", "l_linenumber", "l_suppkey")
+    sites = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    channels = sites.selectExpr("n_name as site", "cast(n_nationkey as int) as site_rank", "cast(s_suppkey as int) as channel_rank", "s_suppkey as xmltv_id")
+    facts = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1997-01-01 00:00:00'").selectExpr("l_orderkey", "l_linenumber", "l_suppkey as xmltv_id")
     heads = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select("o_orderkey", "o_orderpriority")
-    dims = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
-    rows = facts.join(heads, F.col("l_orderkey") == F.col("o_orderkey")).join(dims, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select("l_orderkey", "l_linenumber", "o_orderpriority", "s_name", "n_name")
+    rows = registry.covering(facts.join(heads, F.col("l_orderkey") == F.col("o_orderkey")), registry.registry(channels), on_site=False)
+    return rows.select("l_orderkey", "l_linenumber", "o_orderpriority", "site", F.col("site_rank").cast("long").alias("site_rank"))
 
 
 # ---------------------------------------------------------------- documents
@@ -448,12 +465,13 @@ def _programme_rows(spark, sf_dir):
 @query("programme_xml", f"""WITH {_sched_sql()} SELECT seq, '<programme start="' || strftime(make_timestamp(st * 1000000), '%Y%m%d%H%M%S') || ' +0000"' ||
   CASE WHEN sp IS NULL THEN '' ELSE ' stop="' || strftime(make_timestamp(sp * 1000000), '%Y%m%d%H%M%S') || ' +0000"' END || ' channel="' || channel || '"><title lang="en">' || title || ' &amp; &lt;co&gt;</title></programme>' AS xml FROM sched""")
 def _(spark, sf_dir):
-    return _programme_rows(spark, sf_dir).select("seq", xml_sink.to_xml("programme", F.col("p")).alias("xml"))
+    return xml_sink.with_xml(_programme_rows(spark, sf_dir), "programme", F.col("p"), "seq")
 
 
 @query("xml_roundtrip", f"WITH {_sched_sql()} SELECT seq, st, sp, channel, title || ' & <co>' AS title FROM sched")
 def _(spark, sf_dir):
-    xml = _programme_rows(spark, sf_dir).select(F.col("seq").cast("string").alias("path"), F.concat(F.lit("<tv>"), xml_sink.to_xml("programme", F.col("p")), F.lit("</tv>")).alias("content"))
+    xml = xml_sink.with_xml(_programme_rows(spark, sf_dir), "programme", F.col("p"), "seq")
+    xml = xml.select(F.col("seq").cast("string").alias("path"), F.concat(F.lit("<tv>"), "xml", F.lit("</tv>")).alias("content"))
     back = xml_source.tables(xml_source.parse_column(xml))["programmes"]
     return back.select(F.col("path").cast("long").alias("seq"), F.unix_seconds("start.ts").alias("st"), F.unix_seconds("stop.ts").alias("sp"), "channel", F.col("title")[0]["value"].alias("title"))
 

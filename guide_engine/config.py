@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHANNEL_ID = re.compile(r"[-a-zA-Z0-9]+(\.[-a-zA-Z0-9]+)+")
@@ -108,3 +108,14 @@ def parse_selection(text: str, count: int) -> list[int] | None:
             return None
         picked.update(range(ends[0] - 1, ends[1]))
     return sorted(picked)
+
+
+def selection(text: Column, count: Column) -> Column:
+    """``parse_selection`` as an expression: sorted 0-based picks of a text, NULL for what can't be read."""
+    words = F.filter(F.split(F.replace(F.lower(text), F.lit(","), F.lit(" ")), r"\s+"), lambda w: w != "")
+    ends = lambda w: F.transform(F.split(w, "-"), lambda x: x.cast("long"))
+    span = lambda w: F.sequence(F.array_min(ends(w)) - 1, F.array_max(ends(w)) - 1)
+    fits = lambda w: w.rlike(r"\A[0-9]+(-[0-9]+)?\z") & (F.array_min(ends(w)) >= 1) & (F.array_max(ends(w)) <= count)
+    none, every = F.array().cast("array<bigint>"), F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
+    picks = F.when(F.forall(words, fits), F.array_sort(F.array_distinct(F.flatten(F.transform(words, span)))))
+    return F.when((F.size(words) == 0) | (words == F.array(F.lit("none"))), none).when(words == F.array(F.lit("all")), every).otherwise(picks)

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fusion import merge_programmes, programme_of
 from .match import TOLERANCE
 
 DAY = 86400
@@ -27,9 +28,14 @@ class Entry:
     sp: int | None
     titles: frozenset
     rows: list = field(default_factory=list)  # row ids in fold order
+    off: int | None = None  # offset and precision of the start, for a stop that takes it over
+    prec: int | None = None
+    programme: dict | None = None  # the whole programme, where the rules ask for it
 
     def absorb(self, other: Entry) -> None:
         self.sp = other.sp if self.sp is None else self.sp
+        if self.programme is not None and other.programme is not None:
+            self.programme = merge_programmes(self.programme, other.programme)
         self.titles |= other.titles
         self.rows += other.rows
 
@@ -43,11 +49,12 @@ class Rules:
     tolerance: int = TOLERANCE
     titles: str = "when-shifted"
     merge: bool = True
-    custom: Callable[[Entry, Entry], bool] | None = None
+    #: A predicate on whole programmes (held, incoming) in place of tolerance and titles; it sees any distance.
+    match: Callable[[dict, dict], bool] | None = None
 
     def accept(self, a: Entry, b: Entry) -> bool:
-        if self.custom:
-            return self.custom(a, b)
+        if self.match:
+            return bool(self.match(a.programme, b.programme))
         shift = abs(a.st - b.st)
         shared = self.titles == "never" or bool(a.titles & b.titles)
         if shift == 0:
@@ -76,7 +83,7 @@ class ChannelFold:
         rest = []
         for e in (pooled[t] for t in sorted(pooled)):
             low, high = 0, len(starts)
-            if not self.rules.custom:
+            if not self.rules.match:
                 low, high = bisect_left(starts, e.st - self.rules.tolerance), bisect_right(starts, e.st + self.rules.tolerance)
             near = sorted((abs(starts[k] - e.st), k) for k in range(low, high) if k not in taken)
             hit = next((k for _, k in near if self.rules.accept(self.held[k], e)), None)
@@ -109,11 +116,11 @@ class FoldRows:
     def _numbered(self, horizon: int | None) -> Iterator[tuple]:
         for e, nxt in self.fold.leave(horizon):
             for k, row in enumerate(e.rows):
-                yield row, e.rows[0], k, self.out, nxt.st if nxt else None, nxt.rows[0] if nxt else None
+                yield (row, e.rows[0], k, self.out, *((nxt.st, nxt.rows[0], nxt.off, nxt.prec) if nxt else (None,) * 4))
             self.out += 1
 
-    def row(self, day: int, midnight: int, source: int, row_id: int, st: int, sp: int | None, titles) -> Iterator[tuple]:
-        """(row, group, place in the group, output number, successor's start, successor's group) of all rows that leave."""
+    def row(self, day: int, midnight: int, source: int, row_id: int, st: int, sp: int | None, titles, off: int | None = None, prec: int | None = None, programme: dict | None = None) -> Iterator[tuple]:
+        """(row, group, place in the group, output number, successor's start, group, offset and precision) of all rows that leave."""
         if (day, source) != (self.day, self.source):
             self.fold.add(self.list)
             self.list = []
@@ -123,7 +130,7 @@ class FoldRows:
                 if day > self.day + 1:
                     yield from self._numbered(midnight - self.length)
             self.day, self.source, self.midnight = day, source, midnight
-        self.list.append(Entry(st, sp, frozenset(titles or ()), [row_id]))
+        self.list.append(Entry(st, sp, frozenset(titles or ()), [row_id], off, prec, programme))
 
     def close(self) -> Iterator[tuple]:
         self.fold.add(self.list)
@@ -137,12 +144,14 @@ class FoldRows:
             yield from self._numbered(None)
 
 
-OUT = "channel string, id long, group_id long, place int, out_seq long, next_st long, next_group long"
+OUT = "channel string, id long, group_id long, place int, out_seq long, next_st long, next_group long, next_off int, next_prec int"
 
 
 def fold(df: DataFrame, rules: Rules | None = None, last_day: int | None = None, day: int = DAY) -> DataFrame:
     """Assignments of schedule rows (channel, day_idx, midnight, source, seq, id, st, sp, titles); ``day`` is a day in their unit.
 
+    Optional columns: off and prec of the start, and programme, the whole row as JSON, for rules with a ``match``.
+
     The table function takes rows partitioned by channel and sorted, so a channel is streamed through, not collected.
     """
     from pyspark.sql.functions import udtf
@@ -155,14 +164,16 @@ def fold(df: DataFrame, rules: Rules | None = None, last_day: int | None = None,
 
         def eval(self, r):
             self.channel = r["channel"]
-            for x in self.state.row(r["day_idx"], r["midnight"], r["source"], r["id"], r["st"], r["sp"], r["titles"]):
+            whole = programme_of(r["programme"]) if rules.match else None
+            for x in self.state.row(r["day_idx"], r["midnight"], r["source"], r["id"], r["st"], r["sp"], r["titles"], r["off"], r["prec"], whole):
                 yield (self.channel, *x)
 
         def terminate(self):
             for x in self.state.close():
                 yield (self.channel, *x)
 
-    table = df.select("channel", "day_idx", "midnight", "source", "seq", "id", "st", "sp", "titles").asTable()
+    more = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("off", "int"), ("prec", "int"), ("programme", "string"))]
+    table = df.select("channel", "day_idx", "midnight", "source", "seq", "id", "st", "sp", "titles", *more).asTable()
     return udtf(Fold, returnType=OUT)(table.partitionBy("channel").orderBy("day_idx", "source", "seq", "id"))
 
 

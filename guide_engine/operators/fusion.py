@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,16 @@ def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:
     return F.transform(kept, lambda e: e["x"])
 
 
+def first_seen(df: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:
+    """``values``: the distinct values of each group in the order in which they come first.
+
+    Each value is reduced to its first place before any list is made, so lists are as long as the distinct values are many.
+    """
+    small = df.withColumn("_o", order).groupBy(*by, value).agg(F.min("_o").alias("_o"))
+    listed = small.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_o", F.col(value).alias("_v")))).alias("_x"))
+    return listed.select(*by, F.transform("_x", lambda e: e["_v"]).alias("values"))
+
+
 def union_by(base: Column, extra: Column, key: Callable[[Column], Column], kind: str) -> Column:
     """``base`` then ``extra`` without later elements of a key, also within base; NULL instead of an empty array."""
     empty = F.array().cast(kind)
@@ -30,7 +43,7 @@ def _blank(c: Column) -> Column:
 
 
 def _keys(*names: str) -> Callable[[Column], Column]:
-    return lambda x: F.concat_ws("\x1f", *[_blank(x[n]) for n in names])
+    return lambda x: F.struct(*[_blank(x[n]) for n in names])
 
 
 #: Field -> what makes two of its elements the same.
@@ -38,7 +51,7 @@ KEYS: dict[str, Callable[[Column], Column]] = {
     **{f: _keys("lang", "value") for f in ("title", "sub_title", "desc", "category", "keyword", "country", "display_name")},
     **{f: _keys("system", "value") for f in ("url", "episode_num", "rating", "star_rating")},
     "icon": lambda x: x["src"],
-    "subtitles": lambda x: F.concat_ws("\x1f", _blank(x["type"]), _blank(x["language"]["value"])),
+    "subtitles": lambda x: F.struct(_blank(x["type"]), _blank(x["language"]["value"])),
     "review": _keys("type", "source", "value"),
     "image": lambda x: x["value"],
     "extra": lambda x: x,
@@ -58,6 +71,50 @@ def merge_maps(base: Column, extra: Column) -> Column:
     return F.when(F.size(out) > 0, out)
 
 
+_ROW_KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
+    **{f: (("lang",), ("value",)) for f in ("title", "sub_title", "desc", "category", "keyword", "country", "display_name")},
+    **{f: (("system",), ("value",)) for f in ("url", "episode_num", "rating", "star_rating")},
+    "icon": (("src",),), "image": (("value",),), "subtitles": (("type",), ("language", "value")), "review": (("type",), ("source",), ("value",)),
+}
+
+
+def _union(field: str, a: list | None, b: list | None, paths: tuple[tuple[str, ...], ...] | None = None) -> list | None:
+    """Both lists without later elements of a key."""
+    paths, out = paths or _ROW_KEYS.get(field), {}
+    for x in [*(a or ()), *(b or ())]:
+        key = x if paths is None else tuple(reduce(lambda at, name: (at or {}).get(name), path, x) or "" for path in paths)
+        out.setdefault(key, x)
+    return list(out.values()) or None
+
+
+def merge_programmes(base: dict, extra: dict) -> dict:
+    """The pairwise merge of two rows outside Spark, as ``fuse`` does it: base's values first."""
+    out = dict(base)
+    for f, value in extra.items():
+        if f in _ROW_KEYS or f == "extra":
+            out[f] = _union(f, base.get(f), value)
+        elif f == "attrs":
+            out[f] = {**value, **(base.get(f) or {})} if value else base.get(f)
+        elif f == "credits":
+            both = [x or {} for x in (base.get(f), value)]
+            people = {r: _union(r, both[0].get(r), both[1].get(r), (("value",), ("role",)) if r == "actor" else (("value",),)) for r in ROLES}
+            out[f] = {r: p for r, p in people.items() if p} or None
+        elif base.get(f) is None:
+            out[f] = value
+    return {f: v for f, v in out.items() if v is not None}
+
+
+def programme_of(text: str) -> dict:
+    """A programme from a row's JSON; its instants are datetimes again."""
+    row = json.loads(text)
+    for f in ("start", "stop", "pdc_start", "vps_start", "date"):
+        if row.get(f):
+            row[f]["ts"] = datetime.fromisoformat(row[f]["ts"])
+    if (row.get("previously_shown") or {}).get("start"):
+        row["previously_shown"]["start"]["ts"] = datetime.fromisoformat(row["previously_shown"]["start"]["ts"])
+    return row
+
+
 def fuse(df: DataFrame, by: list[str], order: str, fields: dict[str, str], keep_credit_extras: bool = False) -> DataFrame:
     """One row per ``by`` from rows in ``order`` (a sortable column): the n-ary fold of the pairwise merge.
 

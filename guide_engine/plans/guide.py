@@ -6,20 +6,18 @@ One shuffle by channel carries the fold; everything around it is projection. ``b
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import text
 from ..operators import fold, fusion, ingest, registry
 from ..sources import xml_sink
 
-MS = 1000
+_SEQ, _SOURCE = 35, 14  # bits of a row's number in its channel-day and of its source
 
 
 @dataclass(frozen=True)
@@ -34,6 +32,8 @@ class MergeOptions:
     #: DataFrame -> DataFrame hooks: per site before rows meet, and on the finished guide (sees next_start)
     site_transforms: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
     transform: Callable[[DataFrame], DataFrame] | None = None
+    #: (held, incoming) -> bool on whole programmes, in place of tolerance and titles
+    match: Callable[[dict, dict], bool] | None = None
     keep_credit_extras: bool = False
 
 
@@ -72,32 +72,26 @@ def build(spark: SparkSession, channels: DataFrame, programmes: DataFrame, start
     if options.clamp_to_window and days > 0:
         first = _ms(F.to_timestamp(F.lit(f"{start_day} 00:00:00")))
         rows = rows.where((F.col("st") >= first) & (F.col("st") < first + days * 86_400_000))
-    rows = rows.withColumn("id", F.xxhash64("out_channel", "day_idx", "source", "seq"))
+    # a channel's rows are numbered exactly: 16384 days, 16384 sources and 2**35 rows of a channel-day fit
+    rows = rows.withColumn("id", F.expr(f"shiftleft(cast(day_idx as bigint), {_SEQ + _SOURCE}) + shiftleft(cast(source as bigint), {_SEQ}) + seq"))
     merging = options.channel_strategy == "merge-programmes" and options.programme_strategy == "merge"
-    rules = fold.Rules(options.start_tolerance_ms, options.titles, merging)
-    keys = F.transform("title", lambda t: t["value"]) if not merging or options.titles == "never" else _title_keys()
+    rules = fold.Rules(options.start_tolerance_ms, options.titles, merging, options.match if merging else None)
+    values = F.transform("title", lambda t: t["value"])
+    keys = values if not merging or options.match or options.titles == "never" else text.normal_titles(values)
+    whole = F.to_json(F.struct(*schema.PROGRAMME), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "timeZone": "UTC"}) if rules.match else F.lit(None).cast("string")
     midnight = _ms(F.to_timestamp("day"))
-    slim = rows.select(key.alias("channel"), "day_idx", midnight.alias("midnight"), "source", "seq", "id", "st", "sp", keys.alias("titles"))
-    assigned = fold.fold(slim, rules, last_day=days - 1, day=86_400_000)
-
-    both = assigned.drop("channel").join(rows, "id").withColumn("_order", F.col("place"))
-    fused = fusion.fuse(both.select("group_id", "_order", "out_channel", "out_seq", "next_group", "next_st", "rank", *schema.PROGRAMME), ["group_id"], "_order", {**{c: "" for c in ("out_channel", "out_seq", "next_group", "next_st", "rank")}, **schema.PROGRAMME}, options.keep_credit_extras)
-    nxt = fused.select(F.col("group_id").alias("next_group"), F.col("start").alias("next_start"))
-    done = fused.join(nxt, "next_group", "left")
+    slim = rows.select(key.alias("channel"), "day_idx", midnight.alias("midnight"), "source", "seq", "id", "st", "sp", keys.alias("titles"), F.col("start.off").alias("off"), F.col("start.prec").alias("prec"), whole.alias("programme"))
+    assigned = fold.fold(slim, rules, last_day=days - 1, day=86_400_000).withColumnRenamed("channel", "out_channel")
+
+    # the fold says what follows each group, so the fused rows need no second look
+    passed = ("out_seq", "next_st", "next_off", "next_prec", "rank")
+    both = assigned.join(rows, ["out_channel", "id"]).withColumn("_order", F.col("place"))
+    done = fusion.fuse(both.select("out_channel", "group_id", "_order", *passed, *schema.PROGRAMME), ["out_channel", "group_id"], "_order", {**{c: "" for c in passed}, **schema.PROGRAMME}, options.keep_credit_extras)
+    done = done.withColumn("next_start", F.when(F.col("next_st").isNotNull(), _date(F.col("next_st"), F.col("next_off"), F.col("next_prec"))))
     done = _polish(done, options)
     if options.transform:
         done = options.transform(done)
-    infos = channels.select("site_rank", "channel_rank", "xmltv_id", *registry.channel_element())
-    return {"programmes": done, "channels": _channels(reg, infos, options.channel_strategy)}
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _keys_udf(titles: pd.Series) -> pd.Series:
-    return titles.map(lambda x: [text.title_key(t) for t in x] if x is not None else None)
-
-
-def _title_keys():
-    return _keys_udf(F.transform("title", lambda t: t["value"]))
+    return {"programmes": done, "channels": _channels(reg, channels)}
 
 
 def _polish(done: DataFrame, options: MergeOptions) -> DataFrame:
@@ -113,19 +107,21 @@ def _polish(done: DataFrame, options: MergeOptions) -> DataFrame:
     return done.withColumn("stop", stop)
 
 
-def _channels(reg: DataFrame, infos: DataFrame, strategy: str) -> DataFrame:
-    """One element an output channel, names and icons of its sources in order of priority."""
-    flat = reg.select("out_channel", "rank", F.explode("sources").alias("s")).select("out_channel", "rank", "s.site_rank", "s.channel_rank")
-    joined = flat.join(infos, ["site_rank", "channel_rank"]).withColumn("_o", F.struct("site_rank", "channel_rank"))
-    joined = joined.where(F.col("out_channel").startswith(F.col("xmltv_id")) if strategy == "keep-all" else F.col("out_channel") == F.col("xmltv_id"))
-    listed = joined.groupBy("out_channel", "rank", F.col("id")).agg(F.array_sort(F.collect_list(F.struct("_o", "display_name", "icon"))).alias("x"))
-    names = fusion.distinct_by(F.transform("x", lambda e: e["display_name"]), lambda n: n)
-    icons = fusion.distinct_by(F.filter(F.transform("x", lambda e: e["icon"]), lambda i: i.isNotNull()), lambda i: i)
-    text_of = lambda n: F.struct(n.alias("value"), F.lit(None).cast("string").alias("lang"))
-    return listed.select("out_channel", "rank", "id", F.transform(names, text_of).alias("display_name"), F.when(F.size(icons) > 0, F.transform(icons, lambda i: F.struct(i.alias("src")))).alias("icon"))
+def _channels(reg: DataFrame, channels: DataFrame) -> DataFrame:
+    """One element an output channel: the fields of its sources' elements, united in order of priority."""
+    flat = reg.select("out_channel", "xmltv_id", "rank", F.explode("sources").alias("s")).select("out_channel", F.col("xmltv_id").alias("id"), "rank", "s.site_rank", "s.channel_rank")
+    infos = channels.select("site_rank", "channel_rank", registry.channel_info(channels.columns).alias("info"))
+    fields = [f for f in schema.CHANNEL if f != "id"]
+    rows = flat.join(infos, ["site_rank", "channel_rank"]).select("out_channel", "id", "rank", F.struct("site_rank", "channel_rank").alias("_order"), *[F.col(f"info.{f}").alias(f) for f in fields])
+    return fusion.fuse(rows, ["out_channel"], "_order", {"id": "string", "rank": "", **{f: schema.CHANNEL[f] for f in fields}})
+
+
+def chunks(guide: dict[str, DataFrame], meta: dict | None = None, indent: int | str | None = None) -> Iterator[str]:
+    """The guide's document in order, piece by piece."""
+    channels = xml_sink.with_xml(guide["channels"], "channel", F.struct(*schema.CHANNEL), "rank", indent=indent)
+    programmes = xml_sink.with_xml(guide["programmes"], "programme", F.struct(*schema.PROGRAMME), "rank", "out_seq", indent=indent)
+    return xml_sink.document(channels, programmes, meta, indent)
 
 
 def write_guide(guide: dict[str, DataFrame], target, meta: dict | None = None, indent: int | str | None = None) -> None:
-    channels = guide["channels"].select("rank", xml_sink.to_xml("channel", F.struct("id", "display_name", "icon"), indent).alias("xml"))
-    programmes = guide["programmes"].select("rank", "out_seq", xml_sink.to_xml("programme", F.struct(*schema.PROGRAMME), indent).alias("xml"))
-    xml_sink.write_output(target, xml_sink.document(channels, programmes, meta, indent))
+    xml_sink.write_output(target, chunks(guide, meta, indent))

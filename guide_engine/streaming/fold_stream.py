@@ -36,8 +36,8 @@ def fold_stream(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
             state.remove()
         else:
             state.update((pickle.dumps(fold),))
-        done = pd.DataFrame([(key[0], *x) for x in out], columns=["channel", "id", "group_id", "place", "out_seq", "next_st", "next_group"])
-        yield done.astype({"next_st": "Int64", "next_group": "Int64"})
+        done = pd.DataFrame([(key[0], *x) for x in out], columns=[c.split()[0] for c in OUT.split(", ")])
+        yield done.astype({"next_st": "Int64", "next_group": "Int64", "next_off": "Int32", "next_prec": "Int32"})
 
     return rows.groupBy("channel").applyInPandasWithState(step, OUT, "held binary", "append", GroupStateTimeout.NoTimeout)
 
