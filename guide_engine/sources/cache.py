@@ -1,7 +1,7 @@
 """The channel-day cache: a Parquet table partitioned by site, channel and day, with entry meta beside it.
 
-Dates keep their offset and precision. Presence comes from the meta table, so an empty day differs from a missing one.
-Writes replace whole channel-days; days are pruned by partition.
+Dates keep their offset and precision. Presence comes from the meta table, so an empty day differs from a missing one, and rows
+without meta (of a write that broke off) don't count. Writes replace whole channel-days; days are pruned by partition.
 """
 
 from __future__ import annotations
@@ -26,23 +26,34 @@ class Cache:
         return self.spark.read.schema(ddl).parquet(path)
 
     def programmes(self) -> DataFrame:
-        return self._read(self.rows, f"seq long, {schema.ddl(schema.PROGRAMME)}, site string, channel_id string, day date")
+        """The rows of all entries that are there."""
+        rows = self._read(self.rows, f"seq long, {schema.ddl(schema.PROGRAMME)}, site string, channel_id string, day date")
+        return rows.join(self.entries().select(*KEYS), KEYS, "left_semi")
+
+    def _meta(self) -> DataFrame:
+        return self._read(self.meta, "grabbed_at string, programme_count int, site string, channel_id string, day date")
 
     def entries(self) -> DataFrame:
-        """Entry meta; an entry whose time can't be read counts as missing."""
-        got = self._read(self.meta, "grabbed_at string, programme_count int, site string, channel_id string, day date")
-        return got.where(F.expr("try_cast(grabbed_at as timestamp)").isNotNull()).select(*KEYS, "grabbed_at", "programme_count")
+        """Entry meta; an entry whose time or count can't be read counts as missing."""
+        return self._meta().where(F.expr("try_cast(grabbed_at as timestamp)").isNotNull() & F.col("programme_count").isNotNull()).select(*KEYS, "grabbed_at", "programme_count")
+
+    def sweep(self) -> int:
+        """Remove entries whose meta can't be read; their number."""
+        broken = self._meta().select(*KEYS).join(self.entries(), KEYS, "left_anti")
+        n = broken.count()
+        self.delete(broken)
+        return n
 
     def write(self, rows: DataFrame, entries: DataFrame) -> None:
         """``entries`` names the channel-days (site, channel_id, day, grabbed_at); ``rows`` may have none for some.
 
-        Counts are made from the rows. Both tables replace the partitions they write and no others.
+        Counts are made from the rows. The old entries go first and the new meta comes last: a write that breaks off leaves
+        channel-days missing, and none with another run's rows. Other channel-days are not touched.
         """
         counts = rows.groupBy(*KEYS).agg(F.count("*").cast("int").alias("n"))
         meta = entries.join(counts, KEYS, "left").select(*KEYS, "grabbed_at", F.coalesce("n", F.lit(0)).alias("programme_count"))
         columns = ["seq", *schema.PROGRAMME, *KEYS]
-        emptied = entries.join(counts, KEYS, "left_anti").select(*KEYS)
-        self.delete(emptied)
+        self.delete(entries)
         for df, path in ((rows.select(*columns), self.rows), (meta, self.meta)):
             # one task a channel-day: a file each, however many the source's partitions
             df.repartition(*KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
@@ -66,13 +77,3 @@ class Cache:
         n = old.distinct().count()
         self.delete(old)
         return n
-
-
-def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """Programmes as one JSON object a line; blank lines are dropped."""
-    return spark.read.schema(schema.ddl(schema.PROGRAMME)).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").option("mode", "DROPMALFORMED").json(path)
-
-
-def first_format(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Rows of the configured format, and of the other for channel-days that it lacks."""
-    return first.unionByName(second.join(first.select(*KEYS).distinct(), KEYS, "left_anti"), allowMissingColumns=True)

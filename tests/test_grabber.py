@@ -20,12 +20,12 @@ def test_protocol(spark, tmp_path):
     assert "<preset>1</preset>" in say("--get-lineup", "s2")[1] and say("--get-lineup", "zz")[0] == 1 and "select-channels" in say("--stage", "start")[1]
     assert say("--configure", "--config-file", path, ask=lambda _: "1-2")[0] == 0
     assert sorted(config.load_conf(path)["channel"]) == ids[:2]
-    code, text = say("--config-file", path, "--new-channels", "signal", "--quiet")
+    code, text = say("--config-file", path, "--channel-updates", "signal", "--quiet")
     got = list(xml_source.parse(text))
     assert code == 0 and len([1 for k, _ in got if k == "programme"]) == 4
     config.save_conf(path, {"channel": ["a.tv", "old.tv"]})
-    assert say("--config-file", path, "--new-channels", "signal", "--quiet")[0] == grabber.SIGNAL
-    code, text = say("--config-file", path, "--new-channels", "add")
+    assert say("--config-file", path, "--channel-updates", "signal", "--quiet")[0] == grabber.SIGNAL
+    code, text = say("--config-file", path, "--channel-updates", "add")
     assert code == 0 and len([1 for k, _ in xml_source.parse(text) if k == "channel"]) == 3
     assert say("--config-file", path + "x")[0] == 1
 
