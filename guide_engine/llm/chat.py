@@ -2,13 +2,16 @@
 
 A legal conversation is an optional system turn, then user and assistant in turn, ending with the assistant.
 Each input turn is merged into the turn before it, kept or relabelled, and empty turns may be inserted; a dynamic
-program over the automaton's states finds the cheapest repair, and of equals the one with fewest turns (of equals
-in both, one that may depend on where blocks are cut).
+program over the automaton's states finds the cheapest repair, and of equals the one with fewest turns. Of equals in both, it is the one
+that, read from its end, comes from the lowest state at every step, unmerged before merged: costs up to a step decide
+that, so neither blocks nor other conversations have a part in it.
 
-Rows are put in one total order (conversation, turn, role, text) and cut into blocks of BLOCK rows, so no
-conversation is collected whole: a block gives, for each conversation that crosses its borders,
-the cheapest cost between every pair of states (a min-plus matrix); those few matrices are
-chained per conversation, and each block is then repaired between its two known states.
+Rows are put in one total order (conversation, turn, role, text) and cut into blocks of BLOCK rows, of which only the roles are
+looked at. Conversations inside a block are repaired there. The first and the last one of a block may go on in others: their
+segments are matrices of least costs between states, chained from the left per conversation to the
+costs at each segment's start; each segment then tells where it would come from for every state it may end in, and
+chaining these from the right gives the state it does end in. A conversation of any length is thus shared out, and what one task holds
+of it are 4 x 4 numbers a segment. Texts meet the decisions row by row, so their size doesn't matter.
 
 Null and unknown roles may take any role at the price of a relabel. A null text is empty. Equal rows follow each other.
 A null turn comes first (Spark's order of nulls); rows with a null conv_id form one conversation. An empty table gives no rows.
@@ -16,14 +19,16 @@ A null turn comes first (Spark's order of nulls); rows with a null conv_id form
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, indexed
+from .common import Tables, indexed, map_arrow
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = ("", "system", "user", "assistant")
@@ -77,158 +82,195 @@ def role_code(role: str | None) -> int:
     return NAMES.index(role) if role in NAMES[1:] else 0
 
 
-def matrix(roles: list[int]) -> np.ndarray:
-    """Least weight between states over some turns."""
-    m = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
+def forward(roles: bytes, cost: list[int]) -> list[list[int]]:
+    """Least weights of the states before each turn and after the last one, from those at the start."""
+    out = [cost]
     for role in roles:
-        after = np.full((4, 4), FAR, np.int64)
+        after = [FAR] * 4
         for a, b, w, _ in MOVES[role]:
-            after[:, b] = np.minimum(after[:, b], m[:, a] + w)
-        m = np.minimum(after, FAR)
-    return m
-
-
-def repair(roles: list[int], entry: int, leave: int) -> list[tuple[int, bool]]:
-    """(label, merged) of every turn on the cheapest way from one state to another."""
-    cost = [0 if a == entry else FAR for a in range(4)]
-    back = []
-    for role in roles:
-        after, via = [FAR] * 4, [None] * 4
-        for a, b, w, merged in MOVES[role]:
             if cost[a] + w < after[b]:
-                after[b], via[b] = cost[a] + w, (a, merged)
+                after[b] = cost[a] + w
         cost = after
-        back.append(via)
+        out.append(cost)
+    return out
+
+
+def matrix(roles: bytes) -> list[int]:
+    """Least weight between states over some turns, row by row."""
+    return [w for a in range(4) for w in forward(roles, [0 if a == b else FAR for b in range(4)])[-1]]
+
+
+def backward(roles: bytes, costs: list[list[int]], leave: int) -> list[tuple[int, int, bool]]:
+    """(state before, label, merged) of every turn on the chosen way to ``leave``."""
     out, at = [], leave
-    for via in reversed(back):
-        a, merged = via[at]
-        out.append((at, merged))
-        at = a
+    for k in range(len(roles) - 1, -1, -1):
+        before = costs[k]
+        at_, merged = min((a, m) for a, b, w, m in MOVES[roles[k]] if b == at and before[a] < FAR and before[a] + w == costs[k + 1][at])
+        out.append((at_, at, merged))
+        at = at_
     return out[::-1]
 
 
+def final_state(cost: list[int]) -> int:
+    return min(range(4), key=lambda s: (cost[s] + ending_weight(s), s))
+
+
+@lru_cache(1 << 16)
+def repair(roles: bytes) -> tuple[list[tuple[int, int, bool]], int]:
+    """The chosen way through a whole conversation, and the state it ends in."""
+    costs = forward(roles, [0, FAR, FAR, FAR])
+    leave = final_state(costs[-1])
+    return backward(roles, costs, leave), leave
+
+
 def ending_weight(state: int) -> int:
     return (INSERT * UNIT + 1) * len(ENDING[state])
 
 
-def _groups(frame: pd.DataFrame) -> Iterator[tuple[int | None, pd.DataFrame]]:
-    """Conversations of a sorted block in order."""
-    ids = frame["conv_id"]
-    new = (ids != ids.shift()) & ~(ids.isna() & ids.shift().isna())
-    new.iloc[0] = True
-    for _, own in frame.groupby(new.cumsum(), sort=False):
-        first = own["conv_id"].iloc[0]
-        yield (None if pd.isna(first) else int(first)), own
+MOST = 256  # turns of a conversation whose repair is remembered
+#: A row of the first pass is a conversation that lies in its block, or a segment of one that may not.
+LOOKED = "conv_id long, first long, roles binary, weights array<long>"
+STEP = "pos long, label int, merged boolean, inserts array<int>, out_turn long, closes boolean, ending array<int>"
+OUT = "conv_id long, out_turn long, piece long, role string, action string, n_merged long, rendered string"
+
+
+def _decisions(first: int, way: list[tuple[int, int, bool]], turn: int, goes_on: bool, last: bool) -> Iterator[tuple]:
+    """``STEP`` rows of a segment: ``turn`` turns stand before it, ``goes_on`` if the next one begins by merging into its last."""
+    for k, (a, label, merged) in enumerate(way):
+        inserts = [] if merged else list(PATHS[a, label])
+        turn += 0 if merged else len(inserts) + 1
+        end = k == len(way) - 1
+        closes = not (goes_on if end else way[k + 1][2])
+        yield first + k, label, merged, inserts, turn - 1, closes, list(ENDING[label]) if end and last else []
+
+
+def _turns(way: list[tuple[int, int, bool]]) -> int:
+    return sum(0 if merged else len(PATHS[a, label]) + 1 for a, label, merged in way)
 
 
-SEGMENT = "block long, conv_id long, first long, weights array<long>"
-OUT = "conv_id long, out_turn long, piece int, role string, action string, n_merged long, rendered string"
+def _step_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in STEP.split(", ")])
 
 
-def render(role: str, text: str, opens: bool, closes: bool) -> str:
-    return (f"<|{role}|>\n" if opens else "\n") + text + ("\n<|end|>\n" if closes else "")
+def _mapped(rows_of):
+    """A function over Arrow batches from one that turns a row into ``STEP`` rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for r in batch.to_pylist():
+                held += rows_of(r)
+                if len(held) >= 1 << 14:
+                    yield _step_batch(held)
+                    held = []
+            yield _step_batch(held)
+
+    return run
+
+
+def _segments(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block's conversations; the outermost two with their matrices."""
+    frame = frame.sort_values("pos", kind="stable")
+    ids, pos = frame["conv_id"], frame["pos"].to_numpy()
+    new = ((ids != ids.shift()) & ~(ids.isna() & ids.shift().isna())).to_numpy(bool, na_value=False).copy()
+    new[0] = True
+    at = np.append(np.flatnonzero(new), len(frame))
+    codes = bytes(role_code(r) for r in frame["role"])
+    out = []
+    for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        outer = k == 0 or k == len(at) - 2
+        conv = ids.iloc[a]
+        out.append((None if pd.isna(conv) else int(conv), pos[a], codes[a:b], matrix(codes[a:b]) if outer else None))
+    return pd.DataFrame(out, columns=["conv_id", "first", "roles", "weights"]).astype({"conv_id": "Int64"})
+
+
+def _from_left(frame: pd.DataFrame) -> pd.DataFrame:
+    """The costs at the start of each segment of a conversation, and the state that the last one ends in."""
+    frame = frame.sort_values("first")
+    cost, entries = [0, FAR, FAR, FAR], []
+    for w in frame["weights"]:
+        low = min(cost)
+        cost = [min(c - low, FAR) for c in cost]  # only differences matter
+        entries.append(cost)
+        m = np.asarray(w).reshape(4, 4)
+        cost = np.minimum((np.array(cost)[:, None] + m).min(0), FAR).tolist()
+    return pd.DataFrame({"f": frame["first"].to_numpy(), "entry": entries, "final": final_state(cost)})
+
+
+def _from_right(frame: pd.DataFrame) -> pd.DataFrame:
+    """The state that each segment ends in, the turns before it, and whether the next one merges into its last turn."""
+    frame = frame.sort_values("first")
+    at, goes_on, out = int(frame["final"].iloc[-1]), False, []
+    for first, came, turns, merges in zip(frame["first"][::-1], frame["came"][::-1], frame["turns"][::-1], frame["merges"][::-1], strict=True):
+        out.append([first, at, int(turns[at]), goes_on, not out])
+        at, goes_on = int(came[at]), bool(merges[at])
+    out.reverse()
+    done = pd.DataFrame(out, columns=["f", "leave", "before", "goes_on", "last"])
+    done["before"] = done["before"].cumsum() - done["before"]
+    return done
+
+
+def _told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each state that a segment may end in: the state it then begins in, its turns, and whether it begins with a merge."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            costs = forward(r["roles"], r["entry"])
+            ways = [backward(r["roles"], costs, s) if costs[-1][s] < FAR else None for s in range(4)]
+            rows.append((r["conv_id"], r["first"], r["final"], [w[0][0] if w else 0 for w in ways], [_turns(w) if w else 0 for w in ways], [bool(w and w[0][2]) for w in ways]))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv_id", "first", "final", "came", "turns", "merges"])
+
+
+def decide(tables: Tables, rows: DataFrame) -> DataFrame:
+    """``STEP`` of every row of ``rows`` (pos, conv_id, role): what is done with it."""
+    blocks = rows.select("pos", "conv_id", "role", F.floor(F.col("pos") / BLOCK).alias("block"))
+    looked = tables.put("looked", blocks.groupBy("block").applyInPandas(_segments, LOOKED))
+    inner = map_arrow(looked.where("weights is null").select("first", "roles"), _mapped(lambda r: _whole(r["first"], r["roles"])), STEP)
+    outer = looked.where("weights is not null")
+    entries = tables.put("entries", outer.select("conv_id", "first", "weights").groupBy("conv_id").applyInPandas(_from_left, "f long, entry array<long>, final int"))
+    known = tables.put("known", outer.select("conv_id", "first", "roles").join(entries, F.col("first") == F.col("f")).drop("f"))
+    told = tables.put("told", map_arrow(known, _told, "conv_id long, first long, final int, came array<int>, turns array<long>, merges array<boolean>"))
+    ends = tables.put("ends", told.groupBy("conv_id").applyInPandas(_from_right, "f long, leave int, before long, goes_on boolean, last boolean"))
+    along = lambda r: _decisions(r["first"], backward(r["roles"], forward(r["roles"], r["entry"]), r["leave"]), r["before"], r["goes_on"], r["last"])
+    border = map_arrow(known.join(ends, F.col("first") == F.col("f")), _mapped(along), STEP)
+    return tables.put("steps", inner.union(border))
+
+
+def _whole(first: int, roles: bytes) -> Iterator[tuple]:
+    way, _ = (repair if len(roles) <= MOST else repair.__wrapped__)(roles)
+    return _decisions(first, way, 0, False, True)
 
 
 def format_chats(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """One row per repaired turn (and block that it lies in): conv_id, out_turn, piece, role, action, n_merged, rendered.
+    """One row per input turn and per inserted turn: conv_id, out_turn, piece, role, action, n_merged, rendered.
 
-    A conversation's text is ``rendered`` put together by out_turn and piece.
+    Pieces of one out_turn are merged; a conversation's text is ``rendered`` put together by out_turn and piece.
     """
     tables = Tables(spark)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows, _ = indexed(tables, "turns", rows, ["conv_id", "turn", "role", "text"])
-    rows = rows.withColumn("block", F.floor(F.col("pos") / BLOCK))
-
-    def measure(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos", kind="stable").reset_index(drop=True)
-        out = [(frame["block"].iloc[0], conv, own["pos"].iloc[0], matrix([role_code(r) for r in own["role"]]).ravel()) for conv, own in _groups(frame)]
-        return pd.DataFrame(out, columns=["block", "conv_id", "first", "weights"]).astype({"conv_id": "Int64"})
-
-    segments = tables.put("segments", rows.groupBy("block").applyInPandas(measure, SEGMENT))
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        """States at the borders of a conversation's segments, and the turns before each."""
-        frame = frame.sort_values("block")
-        steps = [np.asarray(w).reshape(4, 4) for w in frame["weights"]]
-        cost, back = np.array([0, FAR, FAR, FAR]), []
-        for m in steps:
-            way = cost[:, None] + m
-            back.append(way.argmin(0))
-            cost = way.min(0)
-        at = int(np.argmin(cost + np.array([ending_weight(s) for s in range(4)])))
-        leave = []
-        for via in reversed(back):
-            leave.append(at)
-            at = int(via[at])
-        leave = leave[::-1]
-        entry = [START, *leave[:-1]]
-        turns = [int(m[a, b] % UNIT) for m, a, b in zip(steps, entry, leave, strict=True)]
-        before = np.cumsum([0, *turns[:-1]])
-        n = len(frame)
-        return pd.DataFrame({"block": frame["block"].to_numpy(), "conv_id": frame["conv_id"].astype("Int64").to_numpy(), "entry": entry, "leave": leave, "before": before, "last": [i == n - 1 for i in range(n)]})
-
-    borders = segments.groupBy("conv_id").applyInPandas(chain, "block long, conv_id long, entry int, leave int, before long, last boolean")
-    borders = tables.put("borders", borders.select(F.col("block").alias("b"), F.col("conv_id").alias("c"), "entry", "leave", "before", "last"))
-
-    def write(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos", kind="stable").reset_index(drop=True)
-        at = {None if pd.isna(r.c) else int(r.c): r for r in known.itertuples()}
-        out: list[list] = []
-        for conv, own in _groups(frame):
-            r = at[conv]
-            roles = [role_code(x) for x in own["role"]]
-            way, state, turn = repair(roles, r.entry, r.leave), r.entry, int(r.before)
-            begin = len(out)
-            for (label, merged), role, text in zip(way, roles, own["text"], strict=True):
-                text = text or ""
-                if merged and len(out) > begin:
-                    out[-1][4] = "merge"
-                    out[-1][5] += 1
-                    out[-1][6] += "\n" + text
-                elif merged:  # the turn began in an earlier block
-                    out.append([conv, turn - 1, int(r.b), NAMES[label], "merge", 1, text, False])
-                else:
-                    for x in PATHS[state, label]:
-                        out.append([conv, turn, 0, NAMES[x], "insert", 0, "", True])
-                        turn += 1
-                    out.append([conv, turn, 0, NAMES[label], "keep" if label == role else "relabel", 1, text, True])
-                    turn += 1
-                state = label
-            if r.last:
-                for x in ENDING[state]:
-                    out.append([conv, turn, 0, NAMES[x], "insert", 0, "", True])
-                    turn += 1
-            for k in range(begin, len(out)):
-                # the segment's last turn may go on in the next block, where it is closed only if that block merges into it
-                closes = k < len(out) - 1 or r.last or not r.goes_on
-                out[k][6] = render(out[k][3], out[k][6], out[k][7], closes)
-        done = pd.DataFrame([x[:7] for x in out], columns=["conv_id", "out_turn", "piece", "role", "action", "n_merged", "rendered"])
-        return done.astype({"conv_id": "Int64"})
-
-    # whether the next segment starts by merging into this one's last turn: it makes fewer turns than it would else
-    joined = rows.groupBy("block").cogroup(_going_on(tables, borders, rows).groupBy("b")).applyInPandas(write, OUT)
-    return joined
-
-
-def _going_on(tables: Tables, borders: DataFrame, rows: DataFrame) -> DataFrame:
-    """borders with goes_on: the first turn of the next segment is merged into the last of this one."""
-    first = borders.where("before > 0 or entry <> 0").select("b", "c", "entry", "leave")
-
-    def starts(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(frame) and len(known):
-            frame = frame.sort_values("pos", kind="stable").reset_index(drop=True)
-            at = {None if pd.isna(r.c) else int(r.c): r for r in known.itertuples()}
-            for conv, own in _groups(frame):
-                if conv in at:
-                    merged = repair([role_code(x) for x in own["role"]], at[conv].entry, at[conv].leave)[0][1]
-                    out.append((int(frame["block"].iloc[0]) - 1, conv, merged))
-        return pd.DataFrame(out, columns=["b", "c", "goes_on"]).astype({"c": "Int64"})
-
-    some = rows.join(first.select(F.col("b").alias("block")).distinct(), "block").select("block", "conv_id", "role", "pos")
-    found = some.groupBy("block").cogroup(first.groupBy("b")).applyInPandas(starts, "b long, c long, goes_on boolean")
-    found = tables.put("going_on", found.select(F.col("b").alias("b2"), F.col("c").alias("c2"), "goes_on"))
-    return borders.join(found, (F.col("b") == F.col("b2")) & F.col("c").eqNullSafe(F.col("c2")), "left").select("b", "c", "entry", "leave", "before", "last", F.coalesce("goes_on", F.lit(False)).alias("goes_on"))
+    steps = decide(tables, rows)
+    name = lambda state: F.element_at(F.array(*map(F.lit, NAMES[1:])), state)
+    tag = lambda role: F.concat(F.lit("<|"), role, F.lit("|>\n"))
+    end = F.lit("\n<|end|>\n")
+
+    def inserted(states, turn):
+        """Empty turns: the k-th of them has the number ``turn(k)``."""
+        one = lambda s, k: F.struct(turn(k).alias("out_turn"), F.lit(0).cast("long").alias("piece"), name(s).alias("role"), F.lit("insert").alias("action"), F.lit(0).cast("long").alias("n_merged"), F.concat(tag(name(s)), end).alias("rendered"))
+        return F.transform(states, one)
+
+    label = name(F.col("label"))
+    action = F.when(F.col("merged"), "merge").when(label.eqNullSafe(F.col("role")), "keep").otherwise("relabel")
+    rendered = F.concat(F.when(F.col("merged"), F.lit("\n")).otherwise(tag(label)), F.coalesce("text", F.lit("")), F.when(F.col("closes"), end).otherwise(""))
+    own = F.struct(F.col("out_turn"), F.col("pos").alias("piece"), label.alias("role"), action.alias("action"), F.lit(1).cast("long").alias("n_merged"), rendered.alias("rendered"))
+    before = inserted(F.col("inserts"), lambda k: F.col("out_turn") - F.size("inserts") + k)
+    after = inserted(F.col("ending"), lambda k: F.col("out_turn") + 1 + k)
+    both = rows.join(steps, "pos").select("conv_id", F.explode(F.concat(before, F.array(own), after)).alias("x"))
+    return both.select("conv_id", "x.*")
 
 
 def op6_query(spark: SparkSession, turns: DataFrame) -> DataFrame:

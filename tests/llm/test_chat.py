@@ -83,8 +83,10 @@ def test_cheapest_repair_whatever_the_blocks(spark, monkeypatch):
         for t in range(rng.randint(1, 6)):
             turns.append((c, t, rng.choice(["system", "user", "assistant", None, "tool"]), rng.choice(["hi", "", None, f"w{c}.{t}"])))
     turns += [(99, t, "user" if t % 3 else "assistant", f"long{t}") for t in range(60)] + [(None, 1, "user", "q"), (None, None, "assistant", "a"), (7, 0, "user", "same"), (7, 0, "user", "same")]
-    for block in (2048, 7):  # of equally cheap repairs the cut may choose another; price and turns are the same
-        check(spark, turns, monkeypatch, block)
+    whole = check(spark, turns, monkeypatch, 2048)
+    for block in (7, 1):  # wherever blocks are cut and whatever else is in the table, a conversation is repaired alike
+        assert check(spark, turns, monkeypatch, block) == whole
+    assert check(spark, [t for t in turns if t[0] in (3, 99)], monkeypatch, 5) == {c: whole[c] for c in (3, 99)}
 
 
 def test_empty_table(spark):
