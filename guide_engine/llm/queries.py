@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, chat, decontaminate, minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
 from .common import documents
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +27,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_nnpu": lambda s, d: toxicity.op9_query(s, documents(s, d), _labels(s, d)),
     "op10_ann_kmeans_tree": lambda s, d: ann.nearest(s, s.read.parquet(f"{d}/embeddings.parquet")),
 }
-
-ORACLE_SQL: dict[str, str] = {}
