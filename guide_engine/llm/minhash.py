@@ -12,8 +12,8 @@
    signature by signature in tiles of bounded size (a pair only in the first band it shares); what passes the margin
    is confirmed on full sets, block against block, and each block yields at most a spanning forest.
 
-Rows with an equal doc_id are one document. A text that is null or has no words has an empty set
-and links with nothing; a row with a null doc_id too (component_id null, kept).
+Rows are told apart even if they share a doc_id: each has the component of its own text, and classes have ids of
+their own. A text that is null or has no words has an empty set and links with nothing; a row with a null doc_id too (component_id null, kept).
 """
 
 from __future__ import annotations
@@ -69,8 +69,21 @@ def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(word_hashes(raw[a:b])[0], size)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """Two hashes of each set, whatever the order of its members; zero for the empty set."""
+    count = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(count)
+    out = np.zeros((len(sets), 2), U64)
+    if len(full):
+        flat, starts = np.concatenate([sets[i] for i in full]), np.cumsum(count[full]) - count[full]
+        with np.errstate(over="ignore"):
+            out[full, 0] = np.add.reduceat(mix64(flat), starts)
+            out[full, 1] = np.add.reduceat(mix64(flat ^ U64(0xA5A5A5A5A5A5A5A5)), starts)
+    return out
+
+
 def sketches(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, its band keys and packed signature."""
+    """doc_id, row, n_shingles, two hashes of the set, its band keys and packed signature, from doc_id, row and text."""
     mult = splitmix(11, HASHES) | U64(1)
     add = splitmix(12, HASHES)
     shift = (np.arange(HASHES) % (64 // BITS) * BITS).astype(U64)
@@ -83,15 +96,13 @@ def sketches(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
                 full = np.flatnonzero(count)
                 n = len(full)
                 minima = np.zeros((n, HASHES), U64)
-                ones = np.zeros((len(sets), 2), U64)
+                ones = set_hashes(sets)
                 with np.errstate(over="ignore"):
                     if n:
                         flat = np.concatenate([sets[i] for i in full])
                         starts = np.cumsum(count[full]) - count[full]
                         for k in range(HASHES):
                             minima[:, k] = np.minimum.reduceat(flat * mult[k] + add[k], starts)
-                        ones[full, 0] = np.add.reduceat(mix64(flat), starts)
-                        ones[full, 1] = np.add.reduceat(mix64(flat ^ U64(0xA5A5A5A5A5A5A5A5)), starts)
                     keys = np.zeros((n, n_bands), U64)
                     for j in range(ROWS):
                         keys = mix64(keys * U64(0x9FB21C651E98DF25) + minima[:, j * n_bands : (j + 1) * n_bands])
@@ -106,16 +117,15 @@ def sketches(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
                     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(np.int64)))
 
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(count), pa.array(ones[:, 0].view(np.int64)), pa.array(ones[:, 1].view(np.int64)), lists(keys, n_bands), lists(packed, LANES)],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
+                    [part.column("doc_id"), part.column("row"), pa.array(count), pa.array(ones[:, 0].view(np.int64)), pa.array(ones[:, 1].view(np.int64)), lists(keys, n_bands), lists(packed, LANES)],
+                    names=["doc_id", "row", "n_shingles", "h1", "h2", "bands", "sig"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, sketch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>")
+    return map_arrow(docs, sketch, "doc_id long, row long, n_shingles long, h1 long, h2 long, bands array<long>, sig array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes."""
+    """doc_id, the set's size and hashes, and its sorted shingle hashes."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +133,13 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = sets_of(part.column("text"), size)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["doc", "items"])
+                ones = set_hashes(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(ones[:, 0]), pa.array(ones[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
+                    names=["doc_id", "n_shingles", "h1", "h2", "items"],
+                )
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc long, items array<long>")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, h1 long, h2 long, items array<long>")
 
 
 class Forest:
@@ -179,18 +193,25 @@ def intersections(items: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return out[left, right].astype(np.int64)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: int = 80, tables: Tables | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: classes of Jaccard ``threshold`` hundredths on ``size``-word shingles."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: int = 80, tables: Tables | None = None, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: classes of Jaccard ``threshold`` hundredths on ``size``-word shingles.
+
+    With ``row``, a column that numbers the rows, also row and component, a number of the component.
+    """
     tables = tables or Tables(spark)
     slack = margin(threshold / 100)
+    number = F.col(f"`{row}`").cast("long") if row else F.lit(0).cast("long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row"), F.col("text").cast("string").alias("text"))
     all_rows = tables.put("sketches", sketches(docs, size, bands_for(threshold / 100)))
     rows = all_rows.where("doc_id is not null and n_shingles > 0")
     group = ["h1", "h2", "n_shingles"]
-    classes = tables.put("classes", rows.groupBy(*group).agg(F.min("doc_id").alias("rep")))
+    classes = rows.groupBy(*group).agg(F.min("doc_id").alias("rep"))
+    classes = tables.put("classes", classes.withColumn("node", F.monotonically_increasing_id()))
 
-    # band keys of one document a class
-    one = rows.join(classes.select(F.col("rep").alias("doc_id"), *group), ["doc_id", *group]).dropDuplicates(["doc_id", *group])
-    one = tables.put("one", one.select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "sig"))
+    # band keys of one row a class
+    reps = classes.select(F.col("rep").alias("doc_id"), *group, F.col("node").alias("doc"))
+    one = rows.join(reps, ["doc_id", *group]).dropDuplicates(["doc_id", *group])
+    one = tables.put("one", one.select("doc", "n_shingles", "bands", "sig"))
     keyed = one.select("doc", F.explode("bands").alias("key"))
     buckets = tables.put("buckets", keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = tables.put("members", keyed.join(buckets, "key"))
@@ -211,23 +232,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, thresho
     near = tables.put("near", near.select("a", "b"))
 
     # full sets of the classes that share a bucket
-    wanted = sig.select(F.col("doc").alias("doc_id"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = tables.put("sets", full_sets(text, size).dropDuplicates(["doc"]))
+    wanted = reps.join(sig.select("doc"), "doc")
+    text = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
+    sets = full_sets(text, size).dropDuplicates(["doc_id", *group]).join(wanted, ["doc_id", *group])
+    sets = tables.put("sets", sets.select("doc", "items"))
     both = near.join(sets.toDF("a", "ia"), "a").join(sets.toDF("b", "ib"), "b")
     links = tables.put("links", _confirmed(both, threshold))
     labels = tables.put("labels", components(tables, links, "star"))
 
     rest = _rest(tables, ranked, one, buckets, labels, sets, threshold, slack)
     final = tables.put("final", components(tables, links.union(rest), "all"))
-    known = classes.join(final.toDF("rep", "component_id"), "rep", "left").select(*group, F.coalesce("component_id", "rep").alias("component_id"))
+    least = final.toDF("node", "component").join(classes.select("node", "rep"), "node")
+    least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component", "component_id")
+    known = classes.join(least, "node", "left").select(*group, F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
     known = tables.put("known", known)
-    out = all_rows.select("doc_id", *group).join(known, group, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    result = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = all_rows.select("doc_id", "row", *group).join(known, group, "left")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    component = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))
+    result = out.select("doc_id", "n_shingles", component.alias("component_id"), "row", F.when(linked, F.col("component")).alias("component"))
+    result = result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     tables.drop("one", "buckets", "members", "ranked", "sig", "near", "sets", "links", "labels", "final", "classes")
-    return result
+    return result if row else result.drop("row", "component")
 
 
 def _confirmed(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -305,9 +330,16 @@ def _rest(tables: Tables, ranked: DataFrame, one: DataFrame, buckets: DataFrame,
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of one document of each component: the one with the smallest id; rows with a null id stay."""
-    drop = near_duplicates(spark, docs, size, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each component: of those with the smallest id the first one met; rows with a null id or without words stay."""
+    tables = Tables(spark)
+    row = next(n for k in range(len(docs.columns) + 1) if (n := f"_row{k}") not in docs.columns)
+    numbered = tables.put("numbered", docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(spark, numbered, size, threshold, tables, row).where("component is not null").select("component", "doc_id", "row")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("component", F.col("first.row").alias("kept_row"))
+    # the first of a component of one needs no word: only the others are looked up
+    gone = tables.put("gone", found.join(first, "component").where("row <> kept_row").select(F.col("row").alias(row)))
+    tables.drop("sketches", "known")
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Non-negative positive-unlabelled learning of linear text classifiers, in numpy.
 
 Training reads a bounded sample: MAX_POSITIVE labelled positives and MAX_UNLABELLED documents whose
-label is not used, both chosen by a hash of the id. Features are style rates (share of capitals, symbols, repeats ...)
+label is not used, both chosen by a hash of the id before any text is read; executors make the features of the
+chosen texts, whole and of any length, and only those come to the driver. An id with several labels is positive if one is; an id with
+several texts gives the least of them. Features are style rates (share of capitals, symbols, repeats ...)
 and the presence of words and of word stems, by hash; one is selected when it is far more frequent among positives
 than among the unlabelled. The class prior is estimated from the same two samples, and the
 classifier minimises the non-negative risk estimate
@@ -27,8 +29,6 @@ from .common import _LOWER, U64, crc_label_fold, keep_rows, map_arrow, mix64, ra
 STEMS = (4, 5)
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 4000
 Z_LEAST, Z_SHARE, FEW_WORDS, Z_SMALL = 5.0, 0.35, 8, 3.0
-#: Longer texts are not drawn for training, so that the sample's bytes are bounded too; they are scored whole.
-MAX_TRAIN_BYTES = 20_000
 STYLE = ("length", "upper", "symbol", "digit", "blank", "repeat", "pipe", "mean_word", "newline", "one_letter", "twice", "root_symbol", "root_upper", "root_pipe", "root_twice")
 
 
@@ -152,11 +152,13 @@ def fit_risk(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int = 500, de
     return w[:-1], float(w[-1])
 
 
-def train(positive: list[bytes], unlabelled: list[bytes], words: int, use_style: bool) -> Model:
-    if not positive or not unlabelled:
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def train(fp: list[Features], fu: list[Features], words: int, use_style: bool) -> Model:
+    """A model from the features of trusted positives and of unlabelled texts."""
+    if not fp or not fu:
         return Model()
-    fp = [features(np.frombuffer(t, np.uint8)) for t in positive]
-    fu = [features(np.frombuffer(t, np.uint8)) for t in unlabelled]
     np_, nu = len(fp), len(fu)
     kinds, which = np.unique(np.concatenate([b for _, b in fp + fu]), return_inverse=True)
     cut = sum(len(b) for _, b in fp)
@@ -195,21 +197,37 @@ def score_texts(model: Model, use_style: bool, raw: np.ndarray, bounds: np.ndarr
     return _sigmoid(out)
 
 
-def samples(docs: DataFrame, labels: DataFrame, column: str, allowed: Column) -> tuple[list[bytes], list[bytes]]:
-    """Bounded samples of trusted positives and of texts whose label is not looked at, both where ``allowed``."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("mark")).where("doc_id is not null and mark is not null").groupBy("doc_id").agg(F.max("mark").alias("mark"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.where(allowed & F.col("doc_id").isNotNull() & (F.octet_length("text") <= MAX_TRAIN_BYTES)).withColumn("draw", F.xxhash64("doc_id", F.lit(17)))
+def _drawn(ids: DataFrame, n: int) -> list[int]:
+    """The n ids of least hash (all, if fewer), however the table is split and however often an id occurs."""
+    draw = F.xxhash64("doc_id", F.lit(17))
+    about = ids.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
+    share = 1.25 * n / max(about, 1)  # the hash bound lets a few more through than wanted
+    bound = (1 << 63) - 1 if share >= 1 else int(2**64 * share) - (1 << 63)
+    return [r["doc_id"] for r in ids.where(draw <= bound).distinct().orderBy(draw, "doc_id").limit(n).collect()]
+
 
-    def take(x: DataFrame, n: int) -> list[bytes]:
-        """About n rows, the same ones however the table is split: those whose hash lies under a bound set by their count."""
-        total = x.select("doc_id").count()
-        bound = (1 << 63) - 1 if total <= n else int(2**64 * (n / total)) - (1 << 63)
-        found = x.where(F.col("draw") <= bound).select("draw", "doc_id", "text").collect()
-        return [r["text"].encode() for r in sorted(found, key=lambda r: tuple(r))[:n]]
+def samples(docs: DataFrame, labels: DataFrame, column: str, allowed: Column) -> tuple[list[Features], list[Features]]:
+    """Features of bounded samples of trusted positives and of texts whose label is not looked at, both where ``allowed``.
+
+    Positives are drawn among the labelled ids; one without a document gives nothing.
+    """
+    marked = labels.where(F.col(column) == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where(allowed & F.col("doc_id").isNotNull())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    trusted, others = set(_drawn(marked, MAX_POSITIVE)), set(_drawn(rows.select("doc_id").where(allowed), MAX_UNLABELLED))
+    wanted = sorted(trusted | others)
+    if not wanted:
+        return [], []
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")  # MAX_POSITIVE + MAX_UNLABELLED rows at most
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, bounds = raw_bytes(batch.column("text"))
+            own = [features(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0].tobytes() for x in own], pa.binary()), pa.array([x[1].tobytes() for x in own], pa.binary())], names=["doc_id", "style", "words"])
 
-    trusted = rows.join(marks.where("mark = 1").select("doc_id"), "doc_id", "left_semi")
-    return take(trusted, MAX_POSITIVE), take(rows, MAX_UNLABELLED)
+    found = {r["doc_id"]: (np.frombuffer(r["style"]), np.frombuffer(r["words"], U64)) for r in map_arrow(texts, measure, "doc_id long, style binary, words binary").collect()}
+    return [found[i] for i in wanted if i in trusted and i in found], [found[i] for i in wanted if i in others and i in found]
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Model, use_style: bool, cut: float) -> DataFrame:
