@@ -11,7 +11,8 @@ holds many copies of one vector is shared out. Scores are the double-precision c
 summed in one fixed order, so copies tie exactly and go by vec_id.
 
 Rows with a null id, and vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part. Rows with an equal id are one candidate.
+components take no part. Rows with an equal id are one candidate with the best of their scores, and one query by
+the greatest of their vectors (component by component).
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import Tables, map_arrow
 
-SAMPLE, PROBES, TARGET = 20_000, 200, 0.97
-LEAF_ROWS, MAX_LEAVES, BRANCH = 128, 2048, 8
+SAMPLE, PROBES, TARGET = 60_000, 200, 0.97
+LEAF_ROWS, MAX_LEAVES, BRANCH = 128, 6144, 8
 CHUNK = 4096
 BESIDE = 16  # leaves that are searched together
 
@@ -155,7 +156,8 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
 
     def draw(x: DataFrame, n: int, count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         bound = (1 << 63) - 1 if count <= n else int(2**64 * (n / count)) - (1 << 63)
-        found = x.where(F.xxhash64("vec_id", F.lit(seed)) <= bound).toArrow().combine_chunks()
+        # one row an id, before anything comes here: copies can't outgrow the bound
+        found = x.where(F.xxhash64("vec_id", F.lit(seed)) <= bound).groupBy("vec_id").agg(F.max("embedding").alias("embedding")).toArrow().combine_chunks()
         if not found.num_rows:
             return np.zeros(0, np.int64), np.zeros((0, 1))
         column = found.column("embedding").combine_chunks()
@@ -227,7 +229,7 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50,
             take = pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), batch.column("embedding").take(take), pa.array(near, pa.int32()), pa.array(seen, pa.list_(pa.int32()))], names=["query_id", "query", "near", "leaves"])
 
-    queries = indexed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
     queries = tables.put("queries", map_arrow(queries.select("vec_id", "embedding"), walk, "query_id long, query array<double>, near int, leaves array<int>"))
 
     # one row a neighbourhood of leaves: the tree's size is bounded by the sample
