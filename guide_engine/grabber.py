@@ -51,6 +51,7 @@ class Run:
     target: Any
     conf: dict[str, list[str]] | None = None
     pages: list[stages.Stage] = field(default_factory=list)
+    claims: list[Callable[[Run], int]] = field(default_factory=list)  # the whole run's work, once every capability has been hooked up
     config_tasks: list[Callable[[Run], int | None]] = field(default_factory=list)
     adjust_tasks: list[Callable[[Run, dict, set[str]], dict]] = field(default_factory=list)
     finish_tasks: list[Callable[[], None]] = field(default_factory=list)
@@ -96,7 +97,7 @@ class Run:
 
 
 class Capability(Protocol):
-    """``options`` are added to the command line; ``hook`` returns an exit code if it has done all there is to do."""
+    """``options`` are added to the command line; ``hook`` returns an exit code if it has done all there is to do, or leaves that as a claim."""
 
     name: str
     options: Mapping[str, Option]
@@ -127,25 +128,34 @@ def channels_xml(channels: DataFrame) -> str:
     return w.header() + "".join(map(w.channel, seen.values())) + w.footer()
 
 
-def _manual(run: Run) -> int | None:
+def _configured(run: Run) -> int:
+    config.save_conf(run.config_file, stages.walk(run.stage_chain(), run.listed(), run.ask))
+    return 0
+
+
+def _channels(run: Run) -> int:
+    run.emit(channels_xml(run.offered))
+    return 0
+
+
+def _page(run: Run) -> int:
+    by = stages.resolve(run.stage_chain()) | {stages.SELECT_CHANNELS: stages.channels_stage(run.listed())}
+    if run.values["stage"] not in by:
+        run.warn(f"there is no page {run.values['stage']}")
+        return 1
+    run.emit(stages.stage_xml(by[run.values["stage"]], run.grabber["name"]))
+    return 0
+
+
+def _manual(run: Run) -> None:
     if run.values["configure"]:
-        config.save_conf(run.config_file, stages.walk(run.stage_chain(), run.listed(), run.ask))
-        return 0
-    return None
+        run.claims.append(_configured)
 
 
-def _api(run: Run) -> int | None:
-    if run.values["list-channels"]:
-        run.emit(channels_xml(run.offered))
-        return 0
-    if run.values["stage"]:
-        by = stages.resolve(run.stage_chain()) | {stages.SELECT_CHANNELS: stages.channels_stage(run.listed())}
-        if run.values["stage"] not in by:
-            run.warn(f"there is no page {run.values['stage']}")
-            return 1
-        run.emit(stages.stage_xml(by[run.values["stage"]], run.grabber["name"]))
-        return 0
-    return None
+def _api(run: Run) -> None:
+    for name, task in (("list-channels", _channels), ("stage", _page)):
+        if run.values[name]:
+            run.claims.append(task)
 
 
 def _cache(run: Run) -> None:
@@ -252,7 +262,7 @@ def run(argv: Sequence[str], spark: SparkSession, grabber: dict, ask: Callable[[
         for c in caps:
             if (code := c.hook(now)) is not None:
                 return code
-        return _go(now)
+        return now.claims[0](now) if now.claims else _go(now)
     finally:
         for task in now.finish_tasks:
             task()
