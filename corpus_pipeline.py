@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guide_engine.llm import decontaminate, minhash, packing, pii, toxicity
-from guide_engine.llm.common import Tables, documents
+from guide_engine.llm.common import Tables, documents, passing
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark)
     docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = tables.put(name, stage(spark, docs, sf_dir))
+        with passing():  # once its result is written, a stage's own tables go
+            docs = tables.put(name, stage(spark, docs, sf_dir))
         if before:
             tables.drop(before)
         before = name
