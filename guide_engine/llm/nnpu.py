@@ -160,9 +160,11 @@ def train(fp: list[Features], fu: list[Features], words: int, use_style: bool) -
     if not fp or not fu:
         return Model()
     np_, nu = len(fp), len(fu)
-    kinds, which = np.unique(np.concatenate([b for _, b in fp + fu]), return_inverse=True)
-    cut = sum(len(b) for _, b in fp)
-    cp, cu = np.bincount(which[:cut], minlength=len(kinds)), np.bincount(which[cut:], minlength=len(kinds))
+    kinds, cp = np.unique(np.concatenate([b for _, b in fp]), return_counts=True)
+    other, n_other = np.unique(np.concatenate([b for _, b in fu]), return_counts=True)
+    # only words of the positives can be chosen, so only theirs are looked up among the others
+    at = np.minimum(np.searchsorted(other, kinds), max(len(other) - 1, 0))
+    cu = np.where(other[at] == kinds, n_other[at], 0) if len(other) else np.zeros_like(cp)
     rate = (cp + cu) / (np_ + nu)
     z = (cp / np_ - cu / nu) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / np_ + 1 / nu))
     z[cp + cu < max(5, 0.002 * (np_ + nu))] = 0
@@ -226,7 +228,8 @@ def samples(docs: DataFrame, labels: DataFrame, column: str, allowed: Column) ->
             own = [features(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0].tobytes() for x in own], pa.binary()), pa.array([x[1].tobytes() for x in own], pa.binary())], names=["doc_id", "style", "words"])
 
-    found = {r["doc_id"]: (np.frombuffer(r["style"]), np.frombuffer(r["words"], U64)) for r in map_arrow(texts, measure, "doc_id long, style binary, words binary").collect()}
+    got = map_arrow(texts, measure, "doc_id long, style binary, words binary").toArrow()
+    found = {i.as_py(): (np.frombuffer(a.as_buffer()), np.frombuffer(b.as_buffer(), U64)) for i, a, b in zip(*got.columns, strict=True)}
     return [found[i] for i in wanted if i in trusted and i in found], [found[i] for i in wanted if i in others and i in found]
 
 
