@@ -14,11 +14,15 @@ from ..schema import ROLES
 
 
 def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:
-    """Elements whose key comes first among equals, in order."""
-    keyed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    keys = F.transform(keyed, lambda e: e["k"])
-    kept = F.filter(keyed, lambda e: F.array_position(keys, e["k"]) == e["i"] + 1)
-    return F.transform(kept, lambda e: e["x"])
+    """Elements whose key comes first among equals, in order; elements without a key are left out.
+
+    Equal keys are found by sorting, and a lambda sees the sorted list as a bound variable, which isn't computed again for each element.
+    """
+    order = lambda *fields: lambda a, b: F.coalesce(*[F.when(a[f] < b[f], -1).when(a[f] > b[f], 1) for f in fields], F.lit(0))  # noqa: E731  maps have no order
+    keyed = F.filter(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))), lambda e: e["k"].isNotNull())
+    first = lambda found: F.filter(found, lambda e, at: (at == 0) | (F.get(found, at - 1)["k"] != e["k"]))
+    kept = F.transform(F.array(F.array_sort(keyed, order("k", "i"))), first)[0]
+    return F.transform(F.array_sort(kept, order("i")), lambda e: e["x"])
 
 
 def first_seen(df: DataFrame, by: list[str], value: str, order: Column) -> DataFrame:
