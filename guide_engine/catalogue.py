@@ -149,7 +149,7 @@ def _(spark, sf_dir):
     rows = _hourly(spark, sf_dir).withColumn("own", F.concat_ws("/", "channel", "site"))
     # one list a channel and site: nothing to match, equal instants become one
     lists = rows.select(F.col("own").alias("channel"), F.lit(0).alias("day_idx"), F.lit(FIRST).cast("long").alias("midnight"), F.lit(0).alias("source"), "seq", F.col("seq").alias("id"), "st", "sp", F.array("title").alias("titles"))
-    pooled = fold.finished(fold.fold(lists), lists)
+    pooled = fold.groups(lists)
     where = F.split("channel", "/")
     return pooled.select(where[0].alias("channel"), where[1].cast("int").alias("site"), "st", F.col("n_rows").alias("n"), F.col("group_id").alias("base"), F.col("sp").alias("stop"))
 
@@ -236,11 +236,8 @@ def _greedy(name: str, title: str):
     def run(spark, sf_dir):
         rows = sched(spark, sf_dir, "'one'").where("site < 2")
         rows = rows.select("channel", F.lit(0).alias("day_idx"), F.lit(FIRST).cast("long").alias("midnight"), F.col("site").alias("source"), "seq", F.col("seq").alias("id"), "st", "sp", F.array(F.lit("x") if title == "'x'" else F.col("title")).alias("titles"))
-        got = fold.fold(rows)
-        both = got.join(rows.select("id", "source", "st"), "id")
-        base = both.where("place = 0").select("group_id")
-        other = both.where("source = 1").groupBy("group_id").agg(F.min("id").alias("b_id")).join(base, "group_id")
-        return other.where("group_id <> b_id").join(rows.where("source = 0").select(F.col("id").alias("group_id")), "group_id").select("b_id", F.col("group_id").alias("a_id"))
+        met = fold.groups(rows).where("source = 0").select("group_id", F.explode("members").alias("m"))
+        return met.where("m.source = 1").select(F.col("m.id").alias("b_id"), F.col("group_id").alias("a_id"))
 
 
 _greedy("greedy_fold_pair", "title")
@@ -256,8 +253,7 @@ def guide_rows(spark, sf_dir):
 
 @query("greedy_fold_guide")
 def _(spark, sf_dir):
-    rows = guide_rows(spark, sf_dir)
-    done = fold.finished(fold.fold(rows), rows)
+    done = fold.ordered(fold.groups(guide_rows(spark, sf_dir)))
     return polish.polish(done).select("channel", "group_id", "out_seq", "st", F.col("sp").alias("stop"), "n_rows")
 
 
