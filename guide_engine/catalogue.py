@@ -217,7 +217,7 @@ for _name, _titles, _tol in (("band_match_pairs", "never", 900), ("match_title_r
 
 @query("nearest_match", f"WITH {_sched_sql()}, {_PAIR.format(tol=3600)}, r AS (SELECT *, row_number() OVER (PARTITION BY channel, b_id ORDER BY shift, a_st, a_id) AS n FROM j WHERE {_RULE['never']}) SELECT channel, b_id, a_id, shift FROM r WHERE n = 1")
 def _(spark, sf_dir):
-    best = match.nearest(match.band_pairs(*_sides(spark, sf_dir), 3600, "never"))
+    best = match.nearest_pairs(*_sides(spark, sf_dir), 3600)
     return best.select("channel", "b_id", "a_id", F.abs(F.col("a_st") - F.col("b_st")).alias("shift"))
 
 

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from guide_engine.operators import fold, fusion
+from guide_engine.operators import fold, fusion, match
 
 
 def test_distinct_union_of_a_long_list(spark):
@@ -52,3 +52,21 @@ def test_rows_that_never_meet_need_no_python(spark):
     df = spark.createDataFrame([], "channel string, day_idx int, midnight long, source int, seq long, id long, st long, sp long, titles array<string>")
     plan = fold.ordered(fold.groups(df, fold.Rules(merge=False)))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_nearest_pairs_equal_nearest_of_all_pairs_and_make_none(spark):
+    rng = random.Random(3)
+    sides = []
+    for size in (900, 700):
+        rows = [(f"c{rng.randrange(2)}", k, st := rng.randrange(4000) // 3 * 3, rng.choice([None, st - 5, st, st + rng.randrange(1, 40), st + 900])) for k in rng.sample(range(5000), size)]
+        sides.append(spark.createDataFrame(rows, "channel string, id long, st long, sp long").withColumn("title", F.lit("x")))
+    for tolerance in (0, 7, 60):
+        want = match.nearest(match.band_pairs(*sides, tolerance, "never"))
+        cols = ["channel", "b_id", "a_id", "a_st", "b_st"]
+        got = sorted(map(tuple, match.nearest_pairs(*sides, tolerance).select(cols).collect()))
+        assert got and got == sorted(map(tuple, want.select(cols).collect()))
+    # in a dense stretch each instant looks at few rows
+    given = [(st, 1 << 60, st) for st in range(200_000)]
+    began = time.time()
+    assert all(hit[0] == 0 for hit in match._nearest(given, list(range(200_000)), 100_000))
+    assert time.time() - began < 10
