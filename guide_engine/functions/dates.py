@@ -56,10 +56,10 @@ _FULL = re.compile(r"([0-9]{14}) ([+-])([0-9]{2})([0-9]{2})")
 
 def date_of(value: str, zones: dict[str, int] | None = None) -> dict:
     """{ts, off, prec} of a text, for sources outside Spark; raises DateError. ``zones`` maps names to minutes."""
-    if (m := _FULL.fullmatch(value)) and value >= "0100" and m[3] <= "23" and m[4] <= "59":  # the usual form, whole
+    if (m := _FULL.fullmatch(value)) and value >= "0100" and value[8:10] <= "23" and m[3] <= "23" and m[4] <= "59":  # the usual form, whole
         d, off = m[1], (int(m[3]) * 60 + int(m[4])) * (-1 if m[2] == "-" else 1)
         try:
-            local = datetime(int(d[:4]), int(d[4:6]), int(d[6:8]), int(d[8:10]), int(d[10:12]), int(d[12:]), tzinfo=timezone.utc)
+            local = datetime.fromisoformat(f"{d[:8]}T{d[8:]}+00:00")
             return {"ts": local - timedelta(minutes=off) if off else local, "off": off, "prec": 14}
         except ValueError:
             pass  # told below, with its place

@@ -34,6 +34,10 @@ def decode(text: str) -> str:
     """One pass over the five names and numeric references; what isn't valid stays as it is."""
     if "&" not in text:
         return text
+    if "&#" not in text:  # what the names stand for makes no new name, so the ampersand comes last
+        for char, entity in reversed(ESCAPES):
+            text = text.replace(entity, char)
+        return text
 
     def one(m: re.Match) -> str:
         if m[3]:

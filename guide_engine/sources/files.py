@@ -99,7 +99,7 @@ class FileStore:
         return self._lines()[1]
 
     def _documents(self) -> DataFrame:
-        rows = xml_source.tables(xml_source.parse_column(self._texts(".xml")))["programmes"]
+        rows = xml_source.tables(xml_source.parse_column(self._texts(".xml"), wanted={"programme": schema.PROGRAMME}))["programmes"]
         return rows.select("seq", *schema.PROGRAMME, *_keys_of(F.col("path")))
 
     def programmes(self) -> DataFrame:
